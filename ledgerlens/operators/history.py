@@ -19,6 +19,7 @@ from ledgerlens.functions.scalars import DAY_S, HOUR_S, hour_of
 from ledgerlens.operators.running import prior_totals, steps_of, time_slot
 
 CARD, DEVICE, ADDRESS = "CARD", "DEVICE", "ADDRESS"
+NOTHING = "NOTHING"
 DEVICE_CARD, ADDRESS_CARD, DEVICE_ADDRESS = "DEVICE_CARD", "ADDRESS_CARD", "DEVICE_ADDRESS"
 
 # Windows in seconds, smallest deviation, shortest usable mean direction.
@@ -56,19 +57,24 @@ class TxnColumns:
 
 
 def observations(txn: DataFrame, cols: TxnColumns, kinds: Sequence[str]) -> DataFrame:
-    """One row per transaction and entity (or pair) it has; one row with NULL kind if it has none."""
-    roles = cols.roles()
+    """One row per transaction and entity (or pair) it has; one row of kind NOTHING if it has none."""
     known = {*txn.columns}
-    entries = []
-    for kind in kinds:
-        key, partner = roles[kind]
-        if key not in known or (partner and partner not in known):
-            continue
-        other = F.col(partner).cast("string") if partner else F.lit("")
-        entries.append(
-            F.struct(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), other.alias("partner"))
+    roles = {k: v for k, v in cols.roles().items() if k in kinds and {*v} - {None} <= known}
+
+    def text(name: str | None) -> Column:
+        return F.col(name).cast("string") if name else F.lit("")
+
+    entries = [
+        F.struct(F.lit(kind).alias("kind"), text(key).alias("key"), text(partner).alias("partner"))
+        for kind, (key, partner) in roles.items()
+    ]
+    # Stands in for a transaction without any entity, so that it keeps its row.
+    keyless = F.coalesce(*[F.concat(text(key), text(partner)) for key, partner in roles.values()]).isNull()
+    entries.append(
+        F.struct(
+            F.lit(NOTHING).alias("kind"), F.when(keyless, F.lit("")).alias("key"), F.lit("").alias("partner")
         )
-    present = F.filter(F.array(*entries), lambda e: e["key"].isNotNull() & e["partner"].isNotNull())
+    )
     amount = F.col(cols.amount).cast("double") if cols.amount in known else F.lit(None).cast("double")
     ts = F.col(cols.ts).cast("long")
     return txn.select(
@@ -77,8 +83,8 @@ def observations(txn: DataFrame, cols: TxnColumns, kinds: Sequence[str]) -> Data
         time_slot(ts).alias("_slot"),
         F.floor(F.col(cols.row_id) / _BIN_ROWS).cast("long").alias("_bin"),
         amount.alias("amount"),
-        F.inline_outer(present),
-    )
+        F.inline(F.array(*entries)),
+    ).filter(F.col("key").isNotNull() & F.col("partner").isNotNull())
 
 
 def _order(ties: str) -> tuple[str, ...]:
@@ -130,8 +136,8 @@ def entity_totals(
                 *[F.when(kind == k, F.lit(w[name])) for k, w in windows.items() if name in w]
             ).cast("long")
             changes.append(change(F.col("ts") + length, False, {name: F.lit(-1)}))
-        due = F.filter(F.array(*changes), lambda c: c["at"].isNotNull())
-        deltas = obs.select(*ENTITY, F.inline(due)).select(
+        due = obs.select(*ENTITY, F.inline(F.array(*changes))).filter(F.col("at").isNotNull())
+        deltas = due.select(
             *ENTITY,
             F.col("at").alias("ts"),
             time_slot(F.col("at")).alias("_slot"),
@@ -241,9 +247,9 @@ def follow_up(
         entry(subject, w.key(), ts, joint=F.col("rows"), when=applies)
         entry(subject, w.key(), start, active=F.lit(1), when=applies)
         entry(subject, w.key(), ts + F.lit(w.window_s), active=F.lit(-1), when=applies)
-    due = F.filter(F.array(*fields), lambda c: c.isNotNull())
     carried = [c for c in order if c not in STRICT]
-    deltas = totals.select(*carried, F.inline(due)).select(
+    due = totals.select(*carried, F.inline(F.array(*fields))).filter(F.col("of_key").isNotNull())
+    deltas = due.select(
         F.col("of").alias("kind"),
         F.col("of_key").alias("key"),
         F.lit("").alias("partner"),
@@ -385,8 +391,7 @@ def _joint_rows_by_row(obs: DataFrame) -> DataFrame:
         )
         for pair, subject in ((DEVICE_CARD, DEVICE), (DEVICE_CARD, CARD), (ADDRESS_CARD, ADDRESS))
     ]
-    present = F.filter(F.array(*sides), lambda s: s.isNotNull())
-    joint = obs.select(*BY_ROW, F.inline(present)).select(
+    joint = obs.select(*BY_ROW, F.inline(F.array(*sides))).filter(F.col("of_key").isNotNull()).select(
         F.col("of").alias("kind"), F.col("of_key").alias("key"), F.lit("").alias("partner"), *BY_ROW
     )
     steps = steps_of(joint, ENTITY, BY_ROW, {"joint": F.count("*")})
@@ -407,7 +412,7 @@ def cumulative_history(
     order = _order(ties)
     windows = {kind: per_kind for kind, (_, per_kind) in blocks.items()}
     obs = observations(txn, cols, tuple(blocks))
-    own = obs.filter(F.col("kind").isNotNull())
+    own = obs.filter(F.col("kind") != NOTHING)
     strict = entity_totals(own, STRICT, windows)
     state = ["seen", "last_ts", "mean"]
     counts = [c for c in strict.columns if c.startswith("in_")]
@@ -438,7 +443,7 @@ def cumulative_partners(
     """
     order = _order(ties)
     obs = observations(txn, cols, tuple(pairs))
-    met = entity_totals(obs.filter(F.col("kind").isNotNull()), order)
+    met = entity_totals(obs.filter(F.col("kind") != NOTHING), order)
     sides = F.array(
         F.struct(F.lit("first").alias("side"), F.col("key").alias("of_key")),
         F.struct(F.lit("second").alias("side"), F.col("partner").alias("of_key")),
@@ -499,7 +504,7 @@ def deviation_block(
             follow_up(totals, order).select(*_match(order), "squares"), _match(order), "left"
         )
 
-    cards = observations(full, cols, (CARD,)).filter(F.col("kind").isNotNull())
+    cards = observations(full, cols, (CARD,)).filter(F.col("kind") != NOTHING)
     strict_cards = entity_totals(cards, STRICT, {CARD: {"24h": DAY_S}})
     if ties == "strict":
         card_rows = with_state(cards, strict_cards, ["in_24h"])
@@ -514,7 +519,7 @@ def deviation_block(
         F.try_divide(F.col("in_24h"), F.sqrt("seen")).alias("card_burst_24h"),
     )
     obs = observations(enriched, cols, (DEVICE, DEVICE_CARD, ADDRESS_CARD))
-    rows = with_state(obs, entity_totals(obs.filter(F.col("kind").isNotNull()), order))
+    rows = with_state(obs, entity_totals(obs.filter(F.col("kind") != NOTHING), order))
     device_columns = (
         rows.groupBy("row_id")
         .agg(
