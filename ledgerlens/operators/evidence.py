@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.canonical import canonical_json, content_hash, name_uuid, nested_json
@@ -19,9 +19,14 @@ from ledgerlens.functions.scalars import hour_of, risk_band
 from ledgerlens.operators.graph import (
     ExpansionParams,
     community_summary,
+    entity_degree,
     expand,
     without_hubs,
 )
+from ledgerlens.operators.history import RELATIONAL_FEATURES
+from ledgerlens.session import cut_lineage
+
+KEYS = ("card_key", "device_key", "addr_key")
 
 # Rule thresholds and the version written into the provenance.
 AMOUNT_Z_MIN = 2.0
@@ -33,6 +38,7 @@ SHARED_DEVICE_LISTED = 10
 COMMUNITY_MIN = 3
 CONNECTED_SCORE_MIN = 0.6
 ENGINE_VERSION = "v1"
+NO_EVIDENCE = "NO_RELATIONAL_EVIDENCE"
 
 RECORD = (
     "transaction_id",
@@ -47,7 +53,8 @@ RECORD = (
 
 
 def _dec(value: Column, digits: int) -> Column:
-    return F.round(value, digits).cast(f"decimal(20,{digits})")
+    """Rounded decimal; the first rounding removes noise in the last digits of a double."""
+    return F.round(F.round(value, 6), digits).cast(f"decimal(20,{digits})")
 
 
 def _text(value: Column, digits: int) -> Column:
@@ -321,10 +328,13 @@ def ev_connected_high_risk(members: DataFrame, scores: DataFrame) -> DataFrame:
 
 def ev_none(seeds: DataFrame, fired: DataFrame) -> DataFrame:
     """A record for each seed without any other evidence."""
-    quiet = seeds.select("transaction_id").join(fired.select("transaction_id"), "transaction_id", "left_anti")
+    return _quiet(seeds.select("transaction_id").join(fired.select("transaction_id"), "transaction_id", "left_anti"))
+
+
+def _quiet(seeds: DataFrame) -> DataFrame:
     return _record(
-        quiet,
-        "NO_RELATIONAL_EVIDENCE",
+        seeds,
+        NO_EVIDENCE,
         F.lit("info"),
         F.lit("No qualifying relational evidence"),
         F.lit("No rule found qualifying relational evidence"),
@@ -375,17 +385,17 @@ def generate_evidence(
     scores: DataFrame,
     params: ExpansionParams = ExpansionParams(),
 ) -> DataFrame:
-    """All evidence of all transactions in ``rows`` (keys, amount, ts, relational features)."""
+    """All evidence of all transactions in ``rows`` (keys, amount, ts, relational features).
+
+    Features and neighbourhoods feed several rules, so both are computed once and
+    written to the checkpoint folder.
+    """
+    rows = cut_lineage(rows.select("transaction_id", "ts", "amount", *KEYS, *RELATIONAL_FEATURES))
     seeds = rows.select("transaction_id", "ts")
-    members = expand(links, seeds, params)
+    members = cut_lineage(expand(links, seeds, params))
     summary = community_summary(links, seeds, scores, params, members)
-    hubs = (
-        links.groupBy("entity_type", "entity_key")
-        .count()
-        .filter(F.col("count") > params.hub_degree_max)
-        .select("entity_type", "entity_key")
-    )
-    fired = reduce(
+    hubs = entity_degree(links, params.hub_degree_max).filter("is_hub").select("entity_type", "entity_key")
+    records = reduce(
         DataFrame.unionByName,
         (
             ev_amount_deviation(rows),
@@ -395,9 +405,13 @@ def generate_evidence(
             ev_shared_device(links, members, seeds, params),
             ev_community(summary, members),
             ev_connected_high_risk(members, scores),
+            _quiet(seeds),
         ),
     )
-    return finalize(fired.unionByName(ev_none(seeds, fired)))
+    # A transaction has few records: its neighbourhood is bounded by the cap per entity.
+    alone = F.count("*").over(Window.partitionBy("transaction_id")) == 1
+    kept = records.withColumn("_alone", alone).filter(F.col("_alone") | (F.col("evidence_type") != NO_EVIDENCE))
+    return finalize(kept.drop("_alone"))
 
 
 def evidence_counts(evidence: DataFrame) -> DataFrame:

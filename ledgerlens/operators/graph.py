@@ -6,7 +6,7 @@ import hashlib
 import json
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import DAY_S
@@ -239,6 +239,11 @@ def expansion_graph(
     return transactions.unionByName(entities), edges
 
 
+def _hours(seconds: Column) -> Column:
+    """Hours with two digits, rounded half up in whole numbers."""
+    return F.floor((seconds * 2 + 36) / 72) / F.lit(100.0)
+
+
 def community_summary(
     links: DataFrame,
     seeds: DataFrame,
@@ -257,7 +262,7 @@ def community_summary(
     )
     sizes = scored.groupBy("seed_id").agg(
         F.count("*").alias("transaction_count"),
-        F.round((F.max("member_ts") - F.min("member_ts")) / F.lit(3600.0), 2).alias("time_span_hours"),
+        _hours(F.max("member_ts") - F.min("member_ts")).alias("time_span_hours"),
         F.round(F.coalesce(F.max("risk_score"), F.lit(0.0)), 4).alias("max_risk_score"),
     )
     hubs = entity_degree(links, params.hub_degree_max).filter("is_hub").select(*ENTITY, "is_hub")
@@ -285,6 +290,7 @@ def graph_context(
     links: DataFrame, seeds: DataFrame, scores: DataFrame, params: ExpansionParams = ExpansionParams()
 ) -> DataFrame:
     """One row per seed: own score, community summary, time window and the parameters' hash."""
+    seeds = seeds.select("transaction_id", "ts")
     own = seeds.join(scores.select("transaction_id", "risk_score"), "transaction_id", "left").select(
         F.col("transaction_id").alias("seed_id"),
         F.col("ts").alias("seed_ts"),
