@@ -37,7 +37,8 @@ def _index(status: Column) -> Column:
 
 
 def _name(index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(s) for s in STATUSES]), index.cast("int") + 1)
+    named = F.element_at(F.array(*[F.lit(s) for s in STATUSES]), index.cast("int") + 1)
+    return F.when(index.isNotNull(), named)
 
 
 def can_move(previous: Column, following: Column) -> Column:

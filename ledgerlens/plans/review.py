@@ -73,12 +73,12 @@ def has_evidence(spark, folder):
 
 @query(
     "queue_filters",
-    f"""WITH {{TXN}}, {_SCORES} SELECT transaction_id, risk_score FROM scores WHERE risk_score >= 0.7
-  AND risk_band = 'HIGH' AND transaction_id NOT IN (SELECT transaction_id FROM evidence)""",
+    f"""WITH {{TXN}}, {_SCORES} SELECT transaction_id, risk_score FROM scores WHERE risk_score >= 0.3
+  AND risk_band = 'MEDIUM' AND transaction_id NOT IN (SELECT transaction_id FROM evidence)""",
 )
 def queue_filters(spark, folder):
     flagged = R.with_evidence_flag(_scores(spark, folder), _evidence(spark, folder))
-    return R.queue_filters(flagged, 0.7, "High", False).select("transaction_id", "risk_score")
+    return R.queue_filters(flagged, 0.3, "Medium", False).select("transaction_id", "risk_score")
 
 
 @query(
@@ -238,8 +238,8 @@ _TOP = """top AS (SELECT grp, fraction, is_fraud, row_number() OVER (PARTITION B
    greatest(1, round_even(count(*) OVER (PARTITION BY grp, fraction) * fraction, 0))::BIGINT AS k,
    sum(is_fraud) OVER (PARTITION BY grp, fraction) AS p
   FROM scored, (VALUES (0.01::DOUBLE), (0.001::DOUBLE)) f(fraction)),
-tops AS (SELECT grp, fraction, k, round(sum(is_fraud) FILTER (rn <= k) / k, 5) AS precision_at,
-   round(sum(is_fraud) FILTER (rn <= k) / greatest(max(p), 1), 5) AS recall_at FROM top GROUP BY ALL)"""
+tops AS (SELECT grp, fraction, k, round(sum(is_fraud) FILTER (rn <= k) / max(k), 5) AS precision_at,
+   round(sum(is_fraud) FILTER (rn <= k) / greatest(max(p), 1), 5) AS recall_at FROM top GROUP BY grp, fraction, k)"""
 
 
 @query("top_fraction_metrics", f"WITH {{TXN}}, {_SCORED}, {_TOP} SELECT * FROM tops")
@@ -247,8 +247,8 @@ def top_fraction_metrics(spark, folder):
     return X.top_fraction_metrics(_scored(spark, folder), "is_fraud", "score", "transaction_id", ["grp"])
 
 
-_BEST = """cands AS (SELECT DISTINCT grp, quantile_cont(score, 0.80 + (0.9995 - 0.80) * i / 199) AS t
-   FROM scored, range(200) r(i) GROUP BY grp, i),
+_LEVELS = [0.80 + (0.9995 - 0.80) * i / 199 for i in range(200)]
+_BEST = f"""cands AS (SELECT DISTINCT grp, unnest(quantile_cont(score, {_LEVELS})) AS t FROM scored GROUP BY grp),
 f1s AS (SELECT c.grp, c.t, 2.0::DOUBLE * sum((score >= t AND is_fraud = 1)::INT) / (sum((score >= t)::INT) + sum(is_fraud)) AS f1
    FROM cands c JOIN scored s USING (grp) GROUP BY ALL),
 best AS (SELECT grp, t AS threshold, f1 FROM f1s QUALIFY row_number() OVER (PARTITION BY grp ORDER BY f1 DESC, t) = 1)"""
@@ -422,7 +422,7 @@ def entity_risk_asof(spark, folder):
 
 _STATUS = "['NEW','INVESTIGATING','ESCALATED','CONFIRMED_FRAUD','CLOSED','FALSE_POSITIVE','NEW','BOGUS']"
 _HISTORY = f"""history AS (SELECT conv_id AS case_id, turn AS seq, CASE WHEN turn = 0 THEN 'NEW' ELSE
-  ({_STATUS})[((turn + conv_id % 3) % 6 + 1)::INT] END AS status, turn * 60 AS at, role AS actor FROM conversations)"""
+  ({_STATUS})[((turn + conv_id % 3) % 6 + 1)::INT] END AS status, turn * 60 AS "at", role AS actor FROM conversations)"""
 _NAMES = ("NEW", "INVESTIGATING", "ESCALATED", "CONFIRMED_FRAUD", "CLOSED", "FALSE_POSITIVE", "NEW", "BOGUS")
 
 
@@ -455,7 +455,7 @@ def validate_transitions(spark, folder):
 
 @query(
     "case_status",
-    f"""WITH {_HISTORY} SELECT case_id, arg_max(status, seq) AS status, max(at) AS updated_at, count(*) AS steps
+    f"""WITH {_HISTORY} SELECT case_id, arg_max(status, seq) AS status, max("at") AS updated_at, count(*) AS steps
 FROM history GROUP BY 1""",
 )
 def case_status(spark, folder):
@@ -688,9 +688,9 @@ def align_schema(spark, folder):
 
 @query(
     "upsert_by_key",
-    """WITH m AS (SELECT c_custkey AS k, c_acctbal AS v, 0 AS new, 0 AS at FROM customer
+    """WITH m AS (SELECT c_custkey AS k, c_acctbal AS v, 0 AS new, 0 AS "at" FROM customer
   UNION ALL SELECT o_custkey, o_totalprice, 1, o_orderkey FROM orders)
-SELECT k, v, at FROM m QUALIFY row_number() OVER (PARTITION BY k ORDER BY new DESC, at DESC) = 1""",
+SELECT k, v, "at" FROM m QUALIFY row_number() OVER (PARTITION BY k ORDER BY new DESC, "at" DESC) = 1""",
 )
 def upsert_by_key(spark, folder):
     stored = table(spark, folder, "customer").select(
