@@ -134,5 +134,5 @@ def ring_recovery(purity: DataFrame, rings: DataFrame, min_purity: float = 0.5)
 def rings_from_mapping(truth: DataFrame, mapping: str = "rings") -> DataFrame:
     """(ring, node) rows from a map column ring → array of accounts."""
     return truth.select(F.explode(mapping).alias("ring", "nodes")).select(
-        "ring", F.explode("nodes").cast("string").alias("node")
+        "ring", F.explode(F.col("nodes").cast("array<string>")).alias("node")
     )

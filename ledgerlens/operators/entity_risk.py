@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.scalars import CLOCK_ANCHOR_S, DAY_S, label_boundary
 from ledgerlens.operators.running import prior_totals, steps_of, time_slot
 
-ENTITY = ["entity_type", "entity_key"]
+ENTITY = ["entity_key", "entity_type"]
 MIN_OBSERVATIONS = 1
 
 

@@ -13,7 +13,8 @@ from ledgerlens.functions.scalars import DAY_S
 from ledgerlens.operators.history import ADDRESS, CARD, DEVICE, TxnColumns
 from ledgerlens.operators.spread import HOT_ROWS, spread_join
 
-ENTITY = ["entity_type", "entity_key"]
+# The key comes first: sorts then rarely compare more than its first bytes.
+ENTITY = ["entity_key", "entity_type"]
 
 
 @dataclass(frozen=True)
@@ -226,14 +227,14 @@ def expansion_graph(
     )
     entities = seed_entities(links, seeds, params.hub_degree_max).select(
         "seed_id",
-        F.concat_ws(":", *ENTITY).alias("node_id"),
+        F.concat_ws(":", "entity_type", "entity_key").alias("node_id"),
         F.col("entity_type").alias("node_type"),
         F.lit(False).alias("is_seed"),
     )
     edges = incidence(links, members, seeds, params).select(
         "seed_id",
         F.concat(F.lit("txn:"), F.col("member_id")).alias("source"),
-        F.concat_ws(":", *ENTITY).alias("target"),
+        F.concat_ws(":", "entity_type", "entity_key").alias("target"),
         F.lit("HAS_ENTITY").alias("relationship_type"),
     )
     return transactions.unionByName(entities), edges

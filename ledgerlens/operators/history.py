@@ -28,7 +28,8 @@ SHORT_WINDOWS = {"1h": HOUR_S, "24h": DAY_S}
 MIN_DEVIATION = 1e-3
 MIN_RESULTANT = 1e-9
 
-ENTITY = ("kind", "key", "partner")
+# The hash comes first because it sorts faster than the texts; the texts keep it exact.
+ENTITY = ("entity", "kind", "key", "partner")
 STRICT = ("_slot", "ts")
 BY_ROW = ("_slot", "ts", "_bin", "row_id")
 _BIN_ROWS = 100_000
@@ -56,6 +57,10 @@ class TxnColumns:
         }
 
 
+def _entity() -> Column:
+    return F.xxhash64("kind", "key", "partner")
+
+
 def observations(txn: DataFrame, cols: TxnColumns, kinds: Sequence[str]) -> DataFrame:
     """One row per transaction and entity (or pair) it has; one row of kind NOTHING if it has none."""
     known = {*txn.columns}
@@ -84,7 +89,7 @@ def observations(txn: DataFrame, cols: TxnColumns, kinds: Sequence[str]) -> Data
         F.floor(F.col(cols.row_id) / _BIN_ROWS).cast("long").alias("_bin"),
         amount.alias("amount"),
         F.inline(F.array(*entries)),
-    ).filter(F.col("key").isNotNull() & F.col("partner").isNotNull())
+    ).filter(F.col("key").isNotNull() & F.col("partner").isNotNull()).withColumn("entity", _entity())
 
 
 def _order(ties: str) -> tuple[str, ...]:
@@ -94,7 +99,7 @@ def _order(ties: str) -> tuple[str, ...]:
 
 
 def _match(order: Sequence[str]) -> list[str]:
-    return [*ENTITY, *[c for c in order if c in ("ts", "row_id")]]
+    return [ENTITY[0], *[c for c in order if c in ("ts", "row_id")], *ENTITY[1:]]
 
 
 def entity_totals(
@@ -259,7 +264,7 @@ def follow_up(
         "squares",
         "active",
         "joint",
-    )
+    ).withColumn("entity", _entity())
     names = ("squares", "active", "joint")
     steps = steps_of(deltas, ENTITY, order, {n: F.sum(n) for n in names})
     priors = prior_totals(steps, ENTITY, order, sums=names)
@@ -393,7 +398,7 @@ def _joint_rows_by_row(obs: DataFrame) -> DataFrame:
     ]
     joint = obs.select(*BY_ROW, F.inline(F.array(*sides))).filter(F.col("of_key").isNotNull()).select(
         F.col("of").alias("kind"), F.col("of_key").alias("key"), F.lit("").alias("partner"), *BY_ROW
-    )
+    ).withColumn("entity", _entity())
     steps = steps_of(joint, ENTITY, BY_ROW, {"joint": F.count("*")})
     totals = prior_totals(steps, ENTITY, BY_ROW, sums=("joint",))
     return totals.select(*_match(BY_ROW), F.col("prior_joint").alias("joint"))
@@ -449,8 +454,10 @@ def cumulative_partners(
         F.struct(F.lit("second").alias("side"), F.col("partner").alias("of_key")),
     )
     fresh = (F.col("seen") == 0).cast("int").alias("fresh")
-    arrivals = met.select("kind", *order, fresh, F.inline(sides))
-    subject = ["kind", "side", "of_key"]
+    arrivals = met.select("kind", *order, fresh, F.inline(sides)).withColumn(
+        "subject", F.xxhash64("kind", "side", "of_key")
+    )
+    subject = ["subject", "kind", "side", "of_key"]
     steps = steps_of(arrivals, subject, order, {"fresh": F.sum("fresh")})
     totals = prior_totals(steps, subject, order, sums=("fresh",))
     at = [c for c in order if c in ("ts", "row_id")]
@@ -459,7 +466,7 @@ def cumulative_partners(
         known = totals.filter(F.col("side") == side).select(
             "kind", F.col("of_key").alias(key), *at, F.col("prior_fresh").alias(name)
         )
-        rows = rows.join(known, ["kind", key, *at], "left")
+        rows = rows.join(known, [*at, key, "kind"], "left")
     columns = []
     for kind, (one, two) in pairs.items():
         columns.append(_of(kind, F.col("_a")).alias(f"{one}_distinct_{two}_prior"))

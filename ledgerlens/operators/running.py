@@ -57,10 +57,20 @@ def prior_totals(
         # A NULL maximum means "none", and greatest() skips NULL.
         merged += [F.greatest(f"prior_{c}", f"above_{c}").alias(f"prior_{c}") for c in maxes]
         kept = [c for c in result.columns if c not in {f"prior_{name}" for name in values}]
-        result = result.join(above, [*keys, *upper], "inner").select(*kept, *merged)
+        result = result.join(above, _sorted(keys, upper), "inner").select(*kept, *merged)
     return result
 
 
+def _sorted(keys: list[str], levels: list[str]) -> list[str]:
+    """Keys and levels as sort columns.
+
+    Sorts compare the first column through its first 8 bytes alone and the next ones in
+    turn, so a first key that tells entities apart and then the levels make most
+    comparisons cheap.
+    """
+    return [*keys[:1], *levels, *keys[1:]]
+
+
 def _placed(cells: DataFrame, keys: list[str], levels: list[str], values: list[str]) -> DataFrame:
     """Cells of one window side by side, their values packed in the array ``_m``.
 
@@ -88,7 +98,7 @@ def _earlier(
 ) -> DataFrame:
     """Totals of the earlier cells within one step of the level above."""
     frame = (
-        Window.partitionBy(*keys, *levels[:-1])
+        Window.partitionBy(*_sorted(keys, levels[:-1]))
         .orderBy(levels[-1])
         .rowsBetween(Window.unboundedPreceding, -1)
     )
