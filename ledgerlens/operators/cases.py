@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.running import prior_totals
+from ledgerlens.operators.spread import spread_join
 
 # Statuses and the statuses each may move to.
 TRANSITIONS = {
@@ -204,7 +205,7 @@ def validate_references(
         "request_id", F.col("transaction_id").alias("subject"), F.explode_outer("evidence_ids").alias("evidence_id")
     )
     owner = evidence.select("evidence_id", F.col("transaction_id").alias("owner"))
-    checked = cited.join(owner, "evidence_id", "left").groupBy("request_id").agg(
+    checked = spread_join(cited, owner, ["evidence_id"], "left").groupBy("request_id").agg(
         F.count_if(F.col("evidence_id").isNotNull() & F.col("owner").isNull()).alias("unknown_evidence"),
         F.count_if(F.col("owner") != F.col("subject")).alias("foreign_evidence"),
     )
@@ -221,9 +222,9 @@ def validate_references(
             F.when(F.col("foreign_evidence") > 0, "foreign_evidence"),
         )
     )
+    flags = covered.join(known, "transaction_id", "full")
     return (
-        requests.join(covered, "transaction_id", "left")
-        .join(known, "transaction_id", "left")
+        spread_join(requests, flags, ["transaction_id"], "left", by=["request_id"])
         .join(checked, "request_id", "left")
         .select("request_id", (F.size(reasons) == 0).alias("acceptable"), F.concat_ws(",", reasons).alias("reasons"))
     )

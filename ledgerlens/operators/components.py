@@ -51,12 +51,15 @@ def connected_components(
         .distinct()
     )
     links = cut_lineage(links.distinct())
-    seen = None
+    seen, size = None, links.count()
     for _ in range(max_rounds):
-        links = cut_lineage(_small_star(_large_star(links, hot_rows), hot_rows))
+        # With fewer edges than a hot node has, no join needs its hot keys looked up.
+        busy = hot_rows if 2 * size > hot_rows else None
+        links = cut_lineage(_small_star(_large_star(links, busy), busy))
         state = links.agg(
             F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
         ).first()
+        size = state["n"]
         if seen == state:
             stars = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
             return nodes.join(stars, "node", "left").select(
@@ -70,18 +73,24 @@ def _smallest(both_ways: DataFrame) -> DataFrame:
     return both_ways.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
 
 
-def _large_star(links: DataFrame, hot_rows: int) -> DataFrame:
+def _with_low(edges: DataFrame, low: DataFrame, hot_rows: int | None) -> DataFrame:
+    if hot_rows is None:
+        return edges.join(low, "u", "inner")
+    return spread_join(edges, low, ["u"], "inner", by=["v"], hot_rows=hot_rows)
+
+
+def _large_star(links: DataFrame, hot_rows: int | None) -> DataFrame:
     """Connect the larger neighbours of each node to its smallest one."""
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    joined = spread_join(both, _smallest(both), ["u"], "inner", by=["v"], hot_rows=hot_rows)
+    joined = _with_low(both, _smallest(both), hot_rows)
     return joined.filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
 
 
-def _small_star(links: DataFrame, hot_rows: int) -> DataFrame:
+def _small_star(links: DataFrame, hot_rows: int | None) -> DataFrame:
     """Connect each node and its smaller neighbours to the smallest of them."""
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = _smallest(down)
-    joined = spread_join(down, low, ["u"], "inner", by=["v"], hot_rows=hot_rows)
+    joined = _with_low(down, low, hot_rows)
     moved = joined.select(F.col("v").alias("u"), F.col("low").alias("v")).union(low.select("u", F.col("low").alias("v")))
     return moved.filter("u != v").distinct()
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import CLOCK_ANCHOR_S, DAY_S, label_boundary
 from ledgerlens.operators.running import prior_totals, steps_of, time_slot
+from ledgerlens.operators.spread import spread_join
 
 ENTITY = ["entity_key", "entity_type"]
 MIN_OBSERVATIONS = 1
@@ -43,7 +44,7 @@ def entity_risk_asof(
     totals = prior_totals(steps, ENTITY, order, sums=("n", "fraud")).filter("asked > 0")
     present = links.select(*ENTITY).distinct().withColumn("linked", F.lit(True))
     count, fraud = F.col("prior_n").cast("long"), F.col("prior_fraud").cast("long")
-    return totals.join(present, ENTITY, "left").select(
+    return spread_join(totals, present, ENTITY, "left", by=["ts"]).select(
         *ENTITY,
         F.col("ts").alias("as_of"),
         label_boundary(F.col("ts"), lag_days, anchor_s).alias("eligible_boundary"),

@@ -9,6 +9,7 @@ from ledgerlens.operators.evidence import ev_amount_deviation
 from ledgerlens.operators.review import risk_queue
 from ledgerlens.plans.network import _AMOUNT, _ROWS, _featured
 from ledgerlens.plans.registry import query
+from ledgerlens.plans.tables import transactions
 
 
 @query(
@@ -20,5 +21,7 @@ FROM txn WHERE transaction_id IN (SELECT transaction_id FROM amount_ev) ORDER BY
 )
 def evidence_queue(spark, folder):
     rows = _featured(spark, folder)
-    scores = rows.select("transaction_id", "risk_score", risk_band(F.col("risk_score")).alias("risk_band"))
+    scores = transactions(spark, folder).select(
+        "transaction_id", "risk_score", risk_band(F.col("risk_score")).alias("risk_band")
+    )
     return risk_queue(scores, ev_amount_deviation(rows), 25, has_evidence=True)
