@@ -367,6 +367,7 @@ def relational_features(
     )
 
 
+# Names and order of the feature columns.
 RELATIONAL_FEATURES = (
     "amt_z_card",
     "amt_z_device",

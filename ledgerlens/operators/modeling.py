@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -176,8 +176,6 @@ def train_classifier(
         subsamplingRate=subsampling_rate,
         seed=seed,
     )
-    from pyspark.ml import Pipeline
-
     return Pipeline(stages=[assembler, trees]).fit(used)
 
 

@@ -371,7 +371,11 @@ def split_summary(spark, folder):
     return M.split_summary(split_transactions(spark, folder), "ts", "is_fraud")
 
 
-@query("split_overlap", "SELECT false AS train_valid_overlap, false AS valid_test_overlap FROM events LIMIT 1")
+@query(
+    "split_overlap",
+    f"""WITH {{TXN}}, {_SPLIT} SELECT max(ts) FILTER (split = 'train') >= min(ts) FILTER (split = 'valid') AS train_valid_overlap,
+  max(ts) FILTER (split = 'valid') >= min(ts) FILTER (split = 'test') AS valid_test_overlap FROM s""",
+)
 def split_overlap(spark, folder):
     return M.split_overlap(split_transactions(spark, folder), "ts")
 

@@ -417,13 +417,13 @@ def finalize_evidence(spark, folder):
 
 @query(
     "verify_evidence",
-    f"WITH {{TXN}}, {_ROWS}, {_FINAL} SELECT evidence_id, evidence_hash FROM final WHERE transaction_id % 10 = 3",
+    f"WITH {{TXN}}, {_ROWS}, {_FINAL} SELECT evidence_id, evidence_hash FROM final WHERE severity = 'high'",
 )
 def verify_evidence(spark, folder):
-    """Every tenth record is altered after hashing; exactly those are found."""
+    """Records of high severity are altered after hashing; exactly those are found."""
     stored = E.finalize(E.ev_amount_deviation(_featured(spark, folder)))
     altered = stored.withColumn(
-        "severity", F.when(F.col("transaction_id") % 10 == 3, "none").otherwise(F.col("severity"))
+        "severity", F.when(F.col("severity") == "high", "none").otherwise(F.col("severity"))
     )
     return E.verify_evidence(altered).select("evidence_id", "evidence_hash")
 

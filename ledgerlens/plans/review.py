@@ -21,7 +21,7 @@ from ledgerlens.sources import tables as T
 _BAND = """CASE WHEN risk_score >= 0.85 THEN 'CRITICAL' WHEN risk_score >= 0.6 THEN 'HIGH'
  WHEN risk_score >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END"""
 _SCORES = f"""scores AS (SELECT transaction_id, risk_score, {_BAND} AS risk_band, is_fraud, device_key FROM txn),
-evidence AS (SELECT 'ev-' || transaction_id AS evidence_id, transaction_id FROM txn WHERE amount >= 80 OR transaction_id % 3 = 0)"""
+evidence AS (SELECT 'ev-' || transaction_id AS evidence_id, transaction_id FROM txn WHERE amount >= 80 OR device_key IS NULL)"""
 
 
 def _scores(spark, folder):
@@ -31,7 +31,7 @@ def _scores(spark, folder):
 
 
 def _evidence(spark, folder):
-    hit = (F.col("amount") >= 80) | (F.col("transaction_id") % 3 == 0)
+    hit = (F.col("amount") >= 80) | F.col("device_key").isNull()
     return transactions(spark, folder).filter(hit).select(
         F.concat(F.lit("ev-"), F.col("transaction_id")).alias("evidence_id"), "transaction_id"
     )
@@ -90,22 +90,26 @@ def top_by_score(spark, folder):
 
 
 _VERSIONS = """versions AS (SELECT transaction_id, 'v1' AS model_version, risk_score, ts AS scored_at FROM txn
-  UNION ALL SELECT transaction_id, 'v2', risk_score * 0.5, ts + 60 FROM txn WHERE transaction_id % 2 = 0
-  UNION ALL SELECT transaction_id, 'v3', risk_score * 0.25, ts + 60 FROM txn WHERE transaction_id % 4 = 0)"""
+  UNION ALL SELECT transaction_id, 'v2', risk_score * 0.5, ts + 60 FROM txn WHERE device_key IS NOT NULL
+  UNION ALL SELECT transaction_id, 'v3', risk_score * 0.25, ts + 60 FROM txn WHERE addr_key IS NOT NULL)"""
 
 
 def _versions(spark, folder):
     rows = transactions(spark, folder)
     entries = [
         F.when(
-            F.col("transaction_id") % every == 0,
+            F.col(scored).isNotNull(),
             F.struct(
                 F.lit(version).alias("model_version"),
                 (F.col("risk_score") * factor).alias("risk_score"),
                 (F.col("ts") + later).alias("scored_at"),
             ),
         )
-        for version, every, factor, later in (("v1", 1, 1.0, 0), ("v2", 2, 0.5, 60), ("v3", 4, 0.25, 60))
+        for version, scored, factor, later in (
+            ("v1", "transaction_id", 1.0, 0),
+            ("v2", "device_key", 0.5, 60),
+            ("v3", "addr_key", 0.25, 60),
+        )
     ]
     return (
         rows.select("transaction_id", F.inline(F.array(*entries)))
@@ -201,8 +205,8 @@ def investigation_ready(spark, folder):
 
 # -- metrics ------------------------------------------------------------------------
 
-# Scores in steps of 1/200, so that many rows tie; one scored set per device parity.
-_SCORED = """scored AS (SELECT transaction_id, is_fraud, CASE WHEN transaction_id % 3 = 0 THEN 'a' ELSE 'b' END AS grp,
+# Scores in steps of 1/200, so that many rows tie; rows without a device form a scored set of their own.
+_SCORED = """scored AS (SELECT transaction_id, is_fraud, CASE WHEN device_key IS NULL THEN 'a' ELSE 'b' END AS grp,
   round(risk_score * 200) / 200 AS score FROM txn)"""
 
 
@@ -210,7 +214,7 @@ def _scored(spark, folder):
     return transactions(spark, folder).select(
         "transaction_id",
         "is_fraud",
-        F.when(F.col("transaction_id") % 3 == 0, "a").otherwise("b").alias("grp"),
+        F.when(F.col("device_key").isNull(), "a").otherwise("b").alias("grp"),
         (F.round(F.col("risk_score") * 200) / 200).alias("score"),
     )
 
@@ -351,7 +355,7 @@ def train_and_score(spark, folder):
 @query("score_missing")
 def score_missing(spark, folder):
     model, filled, _ = _trained(spark, folder, relational=False)
-    stored = filled.filter("transaction_id % 4 <> 0").select("transaction_id", F.lit("gbt-1").alias("model_version"))
+    stored = filled.filter("is_fraud = 0").select("transaction_id", F.lit("gbt-1").alias("model_version"))
     return M.score_missing(model, filled, stored, "gbt-1")
 
 
@@ -508,7 +512,7 @@ def replay_actions(spark, folder):
 _REQUESTS = """requests AS (SELECT o_orderkey AS request_id, o_custkey AS transaction_id, o_orderstatus <> 'O' AS needs_evidence,
   CASE o_orderkey % 5 WHEN 0 THEN [] WHEN 1 THEN ['ev-' || o_custkey] WHEN 2 THEN ['ev-' || o_custkey, 'ev-' || o_custkey]
    WHEN 3 THEN ['ev-' || o_custkey, 'ev-' || (o_custkey + 1)] ELSE ['nothing'] END AS evidence_ids FROM orders),
-covered AS (SELECT transaction_id FROM txn WHERE transaction_id % 7 <> 0 AND transaction_id < 1000)"""
+covered AS (SELECT transaction_id FROM txn WHERE amount >= 30)"""
 
 
 def _requests(spark, folder):
@@ -545,7 +549,7 @@ t AS (SELECT request_id, list_filter([CASE WHEN NOT cov AND NOT known THEN 'unkn
 SELECT request_id, len(rs) = 0 AS acceptable, array_to_string(rs, ',') AS reasons FROM t""",
 )
 def validate_references(spark, folder):
-    covered = _scores(spark, folder).filter("transaction_id % 7 <> 0 AND transaction_id < 1000")
+    covered = transactions(spark, folder).filter("amount >= 30")
     return K.validate_references(_requests(spark, folder), _evidence(spark, folder), covered)
 
 

@@ -18,11 +18,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def transactions(spark: SparkSession, folder: str) -> DataFrame:
     """Events as card transactions; some rows lack a device or an address."""
     events = table(spark, folder, "events")
-    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    # The stored times have no zone; this difference does not depend on the session's zone.
+    seconds = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
     kind = F.col("event_type")
     return events.select(
         F.col("event_id").alias("transaction_id"),
-        (at - F.lit(EVENTS_ANCHOR_S)).alias("ts"),
+        seconds.alias("ts"),
         F.col("value").alias("amount"),
         clean_key(F.col("user_id")).alias("card_key"),
         F.when(kind != "view", clean_key(F.get_json_object("props", "$.k"))).alias("device_key"),
