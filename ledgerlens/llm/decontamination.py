@@ -23,13 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.bytewords import ALNUM, U64, Words, blocks, grams, text_buffers, words
+from ledgerlens.llm.bytewords import ALNUM, Words, blocks, grams, text_buffers, words
 from ledgerlens.llm.scratch import Scratch
+from ledgerlens.llm.slots import has_slot, slots_of
 
 WINDOW = 10
 SHINGLE = 3
-# Slots of the bitmap of benchmark shingles (2 MB); a fuller map lets more runs reach the join.
-SLOT_BITS = 24
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -69,21 +68,6 @@ def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return items.mapInArrow(windows, "item_id string, length int, words array<bigint>, shingles array<bigint>")
 
 
-def _bitmap(windows: DataFrame) -> np.ndarray:
-    """Bits of all shingles, packed; at most 2^SLOT_BITS / 64 rows come to the driver."""
-    slot = F.shiftrightunsigned("shingle", 64 - SLOT_BITS)
-    rows = (
-        windows.select(F.explode("shingles").alias("shingle"))
-        .groupBy(F.shiftright(slot, 6).cast("int").alias("place"))
-        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(shingle, {64 - SLOT_BITS}) % 64 as int))")).alias("bits"))
-        .collect()
-    )
-    bits = np.zeros((1 << SLOT_BITS) // 64, dtype=np.int64)
-    for row in rows:
-        bits[row["place"]] = row["bits"]
-    return bits.view(U64)
-
-
 def _runs(docs: DataFrame, bits: np.ndarray, lengths: list[int]) -> DataFrame:
     """(row, doc_id, n_words, runs): runs of possible benchmark shingles that can hold a window."""
     sizes = sorted({min(SHINGLE, n) for n in lengths})
@@ -102,9 +86,7 @@ def _runs(docs: DataFrame, bits: np.ndarray, lengths: list[int]) -> DataFrame:
                 counts[i:j] = np.diff(w.first)
                 for k in sizes:
                     h, at = grams(w, k)
-                    slot = h >> U64(64 - SLOT_BITS)
-                    hit = (known[(slot >> U64(6)).astype(np.int64)] >> (slot & U64(63))) & U64(1)
-                    kept = np.flatnonzero(hit)
+                    kept = np.flatnonzero(has_slot(known, h))
                     if not len(kept):
                         continue
                     # Positions of one run follow each other; grams of another document never do.
@@ -152,7 +134,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW
     scratch = Scratch(documents.sparkSession, "decontamination")
     windows = scratch.keep(benchmark_windows(benchmark, size), "windows")
     lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())  # at most ``size`` rows
-    found = scratch.keep(_runs(documents, _bitmap(windows), lengths or [size]), "runs")
+    bits = slots_of(windows.select(F.explode("shingles").alias("shingle")), "shingle")
+    found = scratch.keep(_runs(documents, bits, lengths or [size]), "runs")
     runs = found.select("row", F.inline("runs"))
     tokens = runs.select(
         "row", "start", F.size("words").alias("n"), F.posexplode("shingles").alias("offset", "shingle")
