@@ -8,7 +8,9 @@
 3. Components need connections, not all pairs. In the first round each bucket links its
    members to a centre drawn by hash, in the second to a centre drawn anew for each band
    and only across components found so far. What is then still apart in some bucket is
-   compared pair by pair, members of the centre's component only with the others.
+   compared pair by pair, members of the centre's component only with the others. Before
+   that, shingles that no other such document has bound what a document can share with any
+   other: copies that were each edited in their own way never form pairs.
 4. Candidates compare signatures batch after batch. After n hashes with m matches and a
    uniform prior, P(similarity >= 0.75) is the probability of at most m successes in n + 1
    trials of 0.75; below ``MISS`` the pair is dropped.
@@ -222,6 +224,41 @@ def _alike_size(a: str, b: str):
     return LIMIT[1] * low >= LIMIT[0] * high
 
 
+def _own_shingles(rows: DataFrame, documents: DataFrame, several: DataFrame) -> DataFrame:
+    """(doc_id, own): how many shingles of a document in ``rows`` no other of them has.
+
+    Documents with several texts are left out; they count as having none.
+    """
+    wanted = may_hold(rows, "doc_id")
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            ids = batch.column(0).to_numpy()
+            for i, j in blocks(offsets):
+                h, first = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(ids[i:j], np.diff(first))), pa.array(h.view(np.int64))], names=["doc_id", "shingle"]
+                )
+
+    texts = documents.select(F.col("doc_id").cast("long"), "text").filter(wanted("doc_id"))
+    return (
+        texts.mapInArrow(explode, "doc_id bigint, shingle bigint")
+        .groupBy("shingle")
+        .agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
+        .filter("doc_id = last")
+        .groupBy("doc_id")
+        .agg(F.count("*").alias("own"))
+        .join(several, "doc_id", "left_anti")
+    )
+
+
+def _can_reach(size, other_size, own, other_own):
+    """May two documents reach the limit, given how many shingles nobody shares with them?"""
+    both = F.least(F.col(size) - F.col(own), F.col(other_size) - F.col(other_own))
+    return LIMIT[1] * both >= LIMIT[0] * (F.col(size) + F.col(other_size) - both)
+
+
 def _buckets(rows: DataFrame, draw) -> DataFrame:
     """Per bucket with more than one component, a centre drawn by the hash ``draw``."""
     centre = F.min(F.struct(draw.alias("draw"), "doc_id", "n", "component"))
@@ -290,20 +327,28 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
                 pairs = rows.filter(_alike_size("n", "centre_n")).select("doc_id", "centre")
             else:
                 rows = scratch.keep(rows, "split")
+                own = _own_shingles(rows, documents, several)
+                rows = scratch.keep(
+                    rows.join(own, "doc_id", "left")
+                    .withColumn("own", F.coalesce("own", F.lit(0)))
+                    .filter(LIMIT[1] * (F.col("n") - F.col("own")) >= LIMIT[0] * F.col("n")),
+                    "open",
+                )
                 apart = rows.filter("component != centre_component").select(
-                    "bucket", "doc_id", "n", "component"
+                    "bucket", "doc_id", "n", "component", "own"
                 )
                 whole = rows.select(
                     "bucket",
                     F.col("doc_id").alias("centre"),
                     F.col("n").alias("other_n"),
                     F.col("component").alias("other"),
+                    F.col("own").alias("other_own"),
                     (F.col("component") == F.col("centre_component")).alias("central"),
                 )
                 pairs = (
                     apart.join(whole, "bucket")
                     .filter("component != other AND (central OR doc_id < centre)")
-                    .filter(_alike_size("n", "other_n"))
+                    .filter(_can_reach("n", "other_n", "own", "other_own"))
                     .select("doc_id", "centre")
                 )
         survivors = scratch.keep(_prune(pairs.distinct(), heads), f"survivors-{turn}")
