@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from ledgerlens.llm import decontamination, licenses, near_duplicates, token_counts
+from ledgerlens.llm import decontamination, fingerprints, licenses, near_duplicates, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,6 +35,17 @@ def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op3_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    prints = fingerprints.edited_fingerprints(_table(spark, folder, "documents"))
+    return prints.withColumns(
+        {c: fingerprints.as_text(F.col(c)) for c in ("fingerprint", "edited_fingerprint")}
+    )
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = licenses.license_scan(_table(spark, folder, "documents"))
     return found.select(
