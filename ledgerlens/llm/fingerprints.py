@@ -18,8 +18,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.scratch import Scratch
-
 K = 2
 TUPLE = 2
 GROUP_BITS = 6
@@ -124,40 +122,31 @@ def as_text(prints: Column) -> Column:
     return F.array_join(F.transform(prints, lambda x: F.coalesce(F.lower(F.hex(x)), F.lit("-"))), ".")
 
 
-def successors(ids: DataFrame, scratch: Scratch) -> DataFrame:
-    """(row, next, head) for every row: the next row by descending doc_id, then by row, after the last the first.
+def with_next(documents: DataFrame, columns: list[str]) -> DataFrame:
+    """``documents`` plus ``next_<c>`` for each of ``columns``: the values of the next row.
 
-    ``ids``: (row, doc_id, half). ``head``: how many leading code points the row before wants.
-    Rows are dealt to ranges of doc_id; windows run within a range, and the first and last
-    row of each range, at most two per range, connect them.
+    ``documents`` has doc_id and text. Rows follow each other by descending doc_id, rows
+    without id last, equal ids by text; after the last row comes the first. The ids are cut
+    into ranges of about equal size, and one window runs within each range. The first rows
+    of a range are copied to the end of the range before it, so no range needs another.
     """
-    order = [F.desc_nulls_last("doc_id"), F.asc("row")]
-    ranges = scratch.keep(
-        ids.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges"
-    )
-    within = Window.partitionBy("part").orderBy(*order)
-    near = ranges.select(
-        "row", "part", "half", F.lead("row").over(within).alias("next"), F.lag("row").over(within).alias("before"),
-        F.lag("half").over(within).alias("head"),
-    )
-    near = scratch.keep(near, "near")
-    ends = near.groupBy("part").agg(
-        F.max(F.when(F.col("before").isNull(), F.col("row"))).alias("first_row"),
-        F.max(F.when(F.col("next").isNull(), F.struct("row", "half"))).alias("last_row"),
-    )
-    # One row per range.
-    chain = Window.orderBy("part")
-    everywhere = chain.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = ends.select(
-        "part",
-        F.coalesce(F.lead("first_row").over(chain), F.first("first_row").over(everywhere)).alias("next_first"),
-        F.coalesce(F.lag("last_row.half").over(chain), F.last("last_row.half").over(everywhere)).alias("last_half"),
-    )
-    return near.join(F.broadcast(ends), "part").select(
-        "row",
-        F.coalesce("next", "next_first").alias("next"),
-        F.when(F.col("before").isNull(), F.col("last_half")).otherwise(F.col("head")).alias("head"),
+    spark = documents.sparkSession
+    keyed = documents.withColumn("_key", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    pieces = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = keyed.agg(F.percentile_approx("_key", [i / pieces for i in range(1, pieces)], 10_000)).first()[0]
+    cuts = F.lit(sorted(set(bounds or [])))
+    part = F.size(F.filter(cuts, lambda b: b <= F.col("_key")))
+    # One row per range comes to the driver: its largest id.
+    tops = dict(sorted((r["part"], r["top"]) for r in keyed.groupBy(part.alias("part")).agg(F.max("_key").alias("top")).collect()))
+    order = list(tops)
+    heads = [(tops[p], order[(i + 1) % len(order)]) for i, p in enumerate(order)]
+    ghosts = keyed.join(F.broadcast(spark.createDataFrame(heads, "_key bigint, _part int")), "_key").withColumn(
+        "_ghost", F.lit(True)
     )
+    rows = keyed.withColumn("_part", part).withColumn("_ghost", F.lit(False)).unionByName(ghosts)
+    within = Window.partitionBy("_part").orderBy("_ghost", F.desc("_key"), "text")
+    following = {f"next_{c}": F.lead(c).over(within) for c in columns}
+    return rows.withColumns(following).filter("NOT _ghost").drop("_key", "_part", "_ghost")
 
 
 def edited_fingerprints(documents: DataFrame) -> DataFrame:
@@ -166,35 +155,21 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
     The edited text has its last floor(n / 2) code points replaced by as many leading ones
     (or all) of the next document by descending doc_id; after the last comes the first.
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint (arrays),
-    near_edited, near_next. Null texts are empty. Rows of equal doc_id follow each other in
-    an order fixed for one call; rows without id come last. A single row is its own next
-    document. Other columns are ignored.
+    near_edited, near_next. Null texts are empty. Rows of equal doc_id follow each other by
+    text; rows without id come last. A single row is its own next document. Other columns
+    are ignored.
     """
-    scratch = Scratch(documents.sparkSession, "fingerprints")
-    texts = scratch.keep(
-        documents.select(
-            F.monotonically_increasing_id().alias("row"),
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.coalesce("text", F.lit("")).alias("text"),
-        ).select("row", "doc_id", "text", F.char_length("text").cast("long").alias("n_chars"), fingerprint(F.col("text")).alias("print")),
-        "texts",
+    texts = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     )
-    ids = texts.select("row", "doc_id", F.floor(F.col("n_chars") / 2).alias("half"))
-    order = scratch.keep(successors(ids, scratch), "order")
-    heads = (
-        texts.join(order, "row")
-        .select(F.col("row").alias("next"), F.expr("substring(text, 1, cast(head AS int))").alias("lead"), F.col("print").alias("next_print"))
-    )
-    edited = (
-        texts.join(order.select("row", "next"), "row")
-        .join(heads, "next")
-        .select(
-            "doc_id",
-            "n_chars",
-            F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 2) AS int))"), "lead").alias("edited"),
-            "print",
-            "next_print",
-        )
+    ordered = with_next(texts.withColumn("print", fingerprint(F.col("text"))), ["text", "print"])
+    half = "cast(floor(char_length(text) / 2) AS int)"
+    edited = ordered.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.expr(f"concat(substring(text, 1, char_length(text) - {half}), substring(next_text, 1, {half}))").alias("edited"),
+        "print",
+        "next_print",
     )
     return edited.select(
         "doc_id",

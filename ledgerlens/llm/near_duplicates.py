@@ -6,11 +6,11 @@
 2. ``BANDS`` bands of ``ROWS`` hashes: a pair at the limit of 0.75 misses all bands with
    probability (1 - 0.75^5)^56, about 3e-7.
 3. Components need connections, not all pairs. In the first round each bucket links its
-   members to a centre drawn by hash, in the second to a centre drawn anew for each band
-   and only across components found so far. What is then still apart in some bucket is
-   compared pair by pair, members of the centre's component only with the others. Before
-   that, shingles that no other such document has bound what a document can share with any
-   other: copies that were each edited in their own way never form pairs.
+   members to a centre drawn by hash. For buckets still apart, shingles that no other such
+   document has bound what a document can share with any other. The second round takes the
+   member with the least of its own as centre. What is then still apart in some bucket is
+   compared pair by pair, members of the centre's component only with the others; copies
+   that were each edited in their own way are ruled out by the bound and form no pairs.
 4. Candidates compare signatures batch after batch. After n hashes with m matches and a
    uniform prior, P(similarity >= 0.75) is the probability of at most m successes in n + 1
    trials of 0.75; below ``MISS`` the pair is dropped.
@@ -308,56 +308,55 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     links = scratch.keep(
         several.select(F.explode("heads").alias("doc_id"), F.array_min("heads").alias("centre")), "several"
     )
-    components = None
-    for turn in range(3):
-        if turn == 0:
-            pairs = shared.filter("doc_id != centre").filter(_alike_size("n", "centre_n")).select("doc_id", "centre")
-        else:
-            # The draw of buckets still split into several components starts anew.
-            rows = (
-                shared.select("bucket", "band", "doc_id", "n")
-                .join(components, shared["doc_id"] == components["node"], "left")
-                .select("bucket", "band", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-            )
-            split = _buckets(rows, F.xxhash64("doc_id", "band", F.lit(turn)))
-            rows = rows.join(split, "bucket").filter(
-                (F.col("component") != F.col("centre_component")) if turn == 1 else F.lit(True)
-            )
-            if turn == 1:
-                pairs = rows.filter(_alike_size("n", "centre_n")).select("doc_id", "centre")
-            else:
-                rows = scratch.keep(rows, "split")
-                own = _own_shingles(rows, documents, several)
-                rows = scratch.keep(
-                    rows.join(own, "doc_id", "left")
-                    .withColumn("own", F.coalesce("own", F.lit(0)))
-                    .filter(LIMIT[1] * (F.col("n") - F.col("own")) >= LIMIT[0] * F.col("n")),
-                    "open",
-                )
-                apart = rows.filter("component != centre_component").select(
-                    "bucket", "doc_id", "n", "component", "own"
-                )
-                whole = rows.select(
-                    "bucket",
-                    F.col("doc_id").alias("centre"),
-                    F.col("n").alias("other_n"),
-                    F.col("component").alias("other"),
-                    F.col("own").alias("other_own"),
-                    (F.col("component") == F.col("centre_component")).alias("central"),
-                )
-                pairs = (
-                    apart.join(whole, "bucket")
-                    .filter("component != other AND (central OR doc_id < centre)")
-                    .filter(_can_reach("n", "other_n", "own", "other_own"))
-                    .select("doc_id", "centre")
-                )
-        survivors = scratch.keep(_prune(pairs.distinct(), heads), f"survivors-{turn}")
-        if not survivors.isEmpty():
-            found = scratch.keep(_confirm(survivors, documents), f"links-{turn}")
-            links = links.union(found)
-        elif turn:
-            continue
-        components = scratch.keep(connected_components(links, "doc_id", "centre"), f"components-{turn}")
+    def linked_by(pairs: DataFrame) -> DataFrame:
+        survivors = scratch.keep(_prune(pairs.distinct(), heads), "survivors")
+        return scratch.keep(_confirm(survivors, documents), "links")
+
+    links = links.union(linked_by(shared.filter("doc_id != centre").filter(_alike_size("n", "centre_n")).select("doc_id", "centre")))
+    components = scratch.keep(connected_components(links, "doc_id", "centre"), "components")
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(components, rows["doc_id"] == components["node"], "left").select(
+            *rows.columns, F.coalesce("component", "doc_id").alias("component")
+        )
+
+    # Rows of buckets that are still apart, and what no other document in them has.
+    rows = labelled(shared.select("bucket", "band", "doc_id", "n"))
+    apart = scratch.keep(
+        rows.join(_buckets(rows, F.lit(0)).select("bucket"), "bucket", "left_semi").drop("component"), "apart"
+    )
+    own = _own_shingles(apart, documents, several)
+    apart = scratch.keep(
+        apart.join(own, "doc_id", "left")
+        .withColumn("own", F.coalesce("own", F.lit(0)))
+        .filter(LIMIT[1] * (F.col("n") - F.col("own")) >= LIMIT[0] * F.col("n")),
+        "open",
+    )
+    # The member with the least of its own is the most typical one, such as a template.
+    typical = F.struct(F.col("own") / F.col("n"), F.xxhash64("doc_id", "band"))
+    for every_pair in (False, True):
+        rows = labelled(apart)
+        rows = scratch.keep(rows.join(_buckets(rows, typical), "bucket"), "split")
+        beside = rows.filter("component != centre_component")
+        whole = rows.select(
+            "bucket",
+            F.col("doc_id").alias("other_id"),
+            F.col("n").alias("other_n"),
+            F.col("own").alias("other_own"),
+            F.col("component").alias("other"),
+            F.col("centre").alias("other_centre"),
+            (F.col("component") == F.col("centre_component")).alias("central"),
+        )
+        if not every_pair:
+            whole = whole.filter("other_id = other_centre")
+        pairs = (
+            beside.join(whole, "bucket")
+            .filter("component != other AND (central OR doc_id < other_id)")
+            .filter(_can_reach("n", "other_n", "own", "other_own"))
+            .select("doc_id", F.col("other_id").alias("centre"))
+        )
+        links = links.union(linked_by(pairs))
+        components = scratch.keep(connected_components(links, "doc_id", "centre"), "components")
 
     linked = members.join(components, members["head"] == components["node"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "head").alias("component_id")

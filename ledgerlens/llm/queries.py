@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from ledgerlens.llm import decontamination, fingerprints, licenses, near_duplicates, token_counts, toxicity
+from ledgerlens.llm import decontamination, fingerprints, licenses, near_duplicates, repeated_windows, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -60,6 +60,11 @@ def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_repeated_windows(spark: SparkSession, folder: str) -> DataFrame:
+    rest = repeated_windows.remove_repeats(_table(spark, folder, "documents"))
+    return rest.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     counts = token_counts.token_counts(_table(spark, folder, "documents"), vocabulary)

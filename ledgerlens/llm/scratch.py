@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,9 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         place = f"{self.root}/{name}-{uuid.uuid4().hex[:6]}"
         df.write.parquet(place)
+        # Lets Spark's cleaner see that the shuffle files of finished steps are not needed.
+        gc.collect()
+        self.spark._jvm.System.gc()
         kept = self.spark.read.schema(df.schema).parquet(place)
         self._places[id(kept)] = place
         return kept
