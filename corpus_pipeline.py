@@ -3,9 +3,52 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from ledgerlens.llm.decontamination import contamination
+from ledgerlens.llm.mixing import mix_sources
+from ledgerlens.llm.near_duplicates import near_duplicates
+from ledgerlens.llm.private_data import redact
+from ledgerlens.llm.toxicity import score_column, train
 
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the toxicity classifier rejects."""
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.filter(score_column(docs, model)(F.col("text")) < 0.5)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates; rows of equal doc_id are one document."""
+    gone = near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a window of a benchmark item."""
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.filter("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def redact_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """With personal data replaced by its kind; n_chars follows."""
+    return redact(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the temperature mix of the sources wants it."""
+    return mix_sources(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("private_data", redact_private_data),
+    ("mixing", mix),
+]
+
+# A trained classifier is not expressible in SQL; the stages are tested one by one.
 ORACLE_SQL = None
 
 

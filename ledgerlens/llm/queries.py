@@ -9,7 +9,17 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from ledgerlens.llm import decontamination, fingerprints, licenses, near_duplicates, repeated_windows, token_counts, toxicity
+from ledgerlens.llm import (
+    decontamination,
+    fingerprints,
+    licenses,
+    mixing,
+    near_duplicates,
+    private_data,
+    repeated_windows,
+    token_counts,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,6 +41,28 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _listed(spans: str):
+    """kind:start:end of an array of spans, comma-joined."""
+    names = F.array(*[F.lit(k) for k in private_data.KINDS])
+    return F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))),
+        ",",
+    )
+
+
+def _of_kind(number: int):
+    return lambda span: span["kind"] == number
+
+
+def op1_private_data(spark: SparkSession, folder: str) -> DataFrame:
+    found, _ = private_data.private_data(_table(spark, folder, "documents"))
+    counts = [
+        F.size(F.filter("base", _of_kind(i))).cast("long").alias(f"n_{kind}")
+        for i, kind in enumerate(private_data.KINDS)
+    ]
+    return found.select("doc_id", *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
+
+
 def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, folder, "documents"))
 
@@ -65,6 +97,11 @@ def op7_repeated_windows(spark: SparkSession, folder: str) -> DataFrame:
     return rest.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix_sources(_table(spark, folder, "documents"))
+    return mixed.select("doc_id", "source", "mix_block", "mix_key")
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     counts = token_counts.token_counts(_table(spark, folder, "documents"), vocabulary)
