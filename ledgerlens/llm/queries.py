@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from ledgerlens.llm import (
+    chats,
     decontamination,
     fingerprints,
     licenses,
@@ -78,6 +79,10 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op5_chat_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return chats.repair_chats(_table(spark, folder, "conversations"))
+
+
 def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = licenses.license_scan(_table(spark, folder, "documents"))
     return found.select(
