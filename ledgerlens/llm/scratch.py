@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerlens.session import shared_dir
 
 
+# Rows of a batch handed to Python at once; whole texts can be long.
+BATCH_ROWS = 1_000
+
+
 class Scratch:
     """Tables of one operator call, written as Parquet so that a lost executor costs no recomputation.
 
@@ -21,6 +25,9 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
         self._places: dict[int, str] = {}
+        rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+            spark.conf.set(rows, str(BATCH_ROWS))
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         place = f"{self.root}/{name}-{uuid.uuid4().hex[:6]}"
