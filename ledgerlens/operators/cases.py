@@ -53,25 +53,29 @@ def can_move(previous: Column, following: Column) -> Column:
 def validate_transitions(history: DataFrame) -> DataFrame:
     """Each recorded status step (case_id, seq, status) with its predecessor and whether it is legal.
 
-    The predecessor is found as a running maximum of sequence number and status together,
-    so long cases do not meet in one task. The first step of a case must be NEW.
+    The predecessor is found as a running maximum of the sequence number, so long cases do
+    not meet in one task. Unknown statuses stay as they are stored and are never legal, nor
+    is a step after one. The first step of a case must be NEW.
     """
-    coded = history.select(
+    numbered = history.select(
         "case_id",
         F.floor(F.col("seq") / BLOCK).cast("long").alias("block"),
         "seq",
-        (F.col("seq") * len(STATUSES) + _index(F.col("status"))).alias("coded"),
+        F.col("seq").cast("long").alias("at"),
     )
-    steps = prior_totals(coded, ["case_id"], ["block", "seq"], maxes=("coded",))
-
-    def decode(c):
-        return _name(F.pmod(F.col(c), F.lit(len(STATUSES))).cast("int"))
-
-    named = steps.select(
-        "case_id", "seq", decode("prior_coded").alias("previous"), decode("coded").alias("status")
+    places = prior_totals(numbered, ["case_id"], ["block", "seq"], maxes=("at",)).select(
+        "case_id", "seq", F.col("prior_at").cast("long").alias("before")
+    )
+    earlier = history.select("case_id", F.col("seq").cast("long").alias("before"), F.col("status").alias("previous"))
+    named = (
+        history.select("case_id", "seq", "status")
+        .join(places, ["case_id", "seq"])
+        .join(earlier, ["case_id", "before"], "left")
+    )
+    first = F.col("before").isNull() & F.coalesce(F.col("status") == "NEW", F.lit(False))
+    return named.select(
+        "case_id", "seq", "previous", "status", (first | can_move(F.col("previous"), F.col("status"))).alias("legal")
     )
-    first = F.col("previous").isNull() & (F.col("status") == "NEW")
-    return named.withColumn("legal", first | can_move(F.col("previous"), F.col("status")))
 
 
 def _effect(action: Column, target: Column, acceptable: Column) -> Column:
@@ -279,13 +283,13 @@ def case_detail(sections: dict[str, DataFrame]) -> DataFrame:
             for name, df in sections.items()
         ],
     )
-    marks = rows.select(
-        "case_id", "section", F.floor(F.col("seq") / BLOCK).cast("long").alias("block"), "seq", F.lit(1).alias("n")
-    )
-    places = prior_totals(marks, ["case_id", "section"], ["block", "seq"], sums=("n",))
+    # Items of one sequence number follow each other by their id.
+    block = F.floor(F.col("seq") / BLOCK).cast("long").alias("block")
+    marks = rows.groupBy("case_id", "section", block, "seq", "item_id").agg(F.count("*").alias("n"))
+    places = prior_totals(marks, ["case_id", "section"], ["block", "seq", "item_id"], sums=("n",))
     return rows.join(
-        places.select("case_id", "section", "seq", (F.col("prior_n") + 1).cast("long").alias("position")),
-        ["case_id", "section", "seq"],
+        places.select("case_id", "section", "seq", "item_id", (F.col("prior_n") + 1).cast("long").alias("position")),
+        ["case_id", "section", "seq", "item_id"],
         "inner",
     ).select("case_id", "section", "position", "item_id", "text")
 

@@ -310,7 +310,7 @@ def full_metrics(spark, folder):
 @query("paired_bootstrap")
 def paired_bootstrap(spark, folder):
     scored = _scored(spark, folder).withColumn("other", (F.col("score") + F.col("is_fraud") * 0.2) / 1.2)
-    return X.paired_bootstrap(scored, "is_fraud", "score", "other", "transaction_id", ["grp"], replicates=20)
+    return X.paired_bootstrap(scored, "is_fraud", "score", "other", "transaction_id", ["grp"])
 
 
 # -- model ----------------------------------------------------------------------------
