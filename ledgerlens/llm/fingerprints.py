@@ -140,9 +140,9 @@ def with_next(documents: DataFrame, columns: list[str]) -> DataFrame:
     tops = dict(sorted((r["part"], r["top"]) for r in keyed.groupBy(part.alias("part")).agg(F.max("_key").alias("top")).collect()))
     order = list(tops)
     heads = [(tops[p], order[(i + 1) % len(order)]) for i, p in enumerate(order)]
-    ghosts = keyed.join(F.broadcast(spark.createDataFrame(heads, "_key bigint, _part int")), "_key").withColumn(
-        "_ghost", F.lit(True)
-    )
+    listed = [F.struct(F.lit(k).cast("long").alias("_key"), F.lit(p).cast("int").alias("_part")) for k, p in heads or [(0, 0)]]
+    firsts = spark.range(1).select(F.inline(F.array(*listed)))
+    ghosts = keyed.join(F.broadcast(firsts), "_key").withColumn("_ghost", F.lit(True))
     rows = keyed.withColumn("_part", part).withColumn("_ghost", F.lit(False)).unionByName(ghosts)
     within = Window.partitionBy("_part").orderBy("_ghost", F.desc("_key"), "text")
     following = {f"next_{c}": F.lead(c).over(within) for c in columns}
