@@ -34,15 +34,14 @@ def connected_components(
     edges: DataFrame,
     first: str,
     second: str,
-    max_rounds: int = 50,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """(node, component): the component is its smallest node.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014), which turn
     every component into a star around its smallest node in few rounds, whatever the
-    degrees. Each round is written to the checkpoint folder, so a lost executor costs
-    one round at most.
+    degrees. The smallest neighbours only become smaller, so the rounds end. Each step is
+    written to the checkpoint folder, so a lost executor costs one step at most.
     """
     links = edges.select(F.col(first).alias("u"), F.col(second).alias("v")).filter("u != v")
     nodes = (
@@ -51,42 +50,37 @@ def connected_components(
         .distinct()
     )
     links = cut_lineage(links.distinct())
-    seen, size = None, links.count()
-    for _ in range(max_rounds):
-        # With fewer edges than a hot node has, no join needs its hot keys looked up.
-        busy = hot_rows if 2 * size > hot_rows else None
-        links = cut_lineage(_small_star(_large_star(links, busy), busy))
+    seen = None
+    while True:
+        links = cut_lineage(_large_star(links, hot_rows))
+        links = cut_lineage(_small_star(links, hot_rows))
         state = links.agg(
             F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
         ).first()
-        size = state["n"]
         if seen == state:
             stars = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
             return nodes.join(stars, "node", "left").select(
                 "node", F.coalesce("component", "node").alias("component")
             )
         seen = state
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def _smallest(both_ways: DataFrame) -> DataFrame:
     return both_ways.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
 
 
-def _with_low(edges: DataFrame, low: DataFrame, hot_rows: int | None) -> DataFrame:
-    if hot_rows is None:
-        return edges.join(low, "u", "inner")
+def _with_low(edges: DataFrame, low: DataFrame, hot_rows: int) -> DataFrame:
     return spread_join(edges, low, ["u"], "inner", by=["v"], hot_rows=hot_rows)
 
 
-def _large_star(links: DataFrame, hot_rows: int | None) -> DataFrame:
+def _large_star(links: DataFrame, hot_rows: int) -> DataFrame:
     """Connect the larger neighbours of each node to its smallest one."""
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     joined = _with_low(both, _smallest(both), hot_rows)
     return joined.filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
 
 
-def _small_star(links: DataFrame, hot_rows: int | None) -> DataFrame:
+def _small_star(links: DataFrame, hot_rows: int) -> DataFrame:
     """Connect each node and its smaller neighbours to the smallest of them."""
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = _smallest(down)

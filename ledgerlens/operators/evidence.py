@@ -24,6 +24,7 @@ from ledgerlens.operators.graph import (
     without_hubs,
 )
 from ledgerlens.operators.history import RELATIONAL_FEATURES
+from ledgerlens.operators.spread import spread_join
 from ledgerlens.session import cut_lineage
 
 KEYS = ("card_key", "device_key", "addr_key")
@@ -39,6 +40,15 @@ COMMUNITY_MIN = 3
 CONNECTED_SCORE_MIN = 0.6
 ENGINE_VERSION = "v1"
 NO_EVIDENCE = "NO_RELATIONAL_EVIDENCE"
+CHECKED = (
+    "NEW_PAIRING",
+    "AMOUNT_DEVIATION",
+    "UNUSUAL_HOUR",
+    "VELOCITY_BURST",
+    "SHARED_DEVICE_LINK",
+    "COMMUNITY_STATS",
+    "CONNECTED_HIGH_RISK",
+)
 
 RECORD = (
     "transaction_id",
@@ -67,7 +77,7 @@ def _record(
     severity: Column,
     title: Column,
     description: Column,
-    details: Mapping[str, Column],
+    details: Mapping[str, Column] | Column,
     source_table: str,
     source_row_ids: Column,
 ) -> DataFrame:
@@ -77,7 +87,7 @@ def _record(
         severity.alias("severity"),
         title.alias("title"),
         description.alias("description"),
-        canonical_json(details).alias("details"),
+        (details if isinstance(details, Column) else canonical_json(details)).alias("details"),
         F.lit(source_table).alias("source_table"),
         F.array_sort(F.array_distinct(source_row_ids)).alias("source_row_ids"),
     )
@@ -162,6 +172,17 @@ def ev_new_pairing(rows: DataFrame) -> DataFrame:
         ),
     )
     hits = rows.select("*", F.inline(entries)).filter(F.col("is_new") == 1.0)
+
+    def details(other: str) -> Column:
+        return canonical_json(
+            {
+                "pair_type": F.col("pair_type"),
+                other: F.col("other_key"),
+                "card": F.col("card_key"),
+                "prior_count": F.lit(0),
+            }
+        )
+
     return _record(
         hits,
         "NEW_PAIRING",
@@ -171,12 +192,7 @@ def ev_new_pairing(rows: DataFrame) -> DataFrame:
             F.lit("Card "), F.col("card_key"), F.lit(" was never seen with "), F.col("other"),
             F.lit(" "), F.col("other_key"), F.lit(" before"),
         ),
-        {
-            "pair_type": F.col("pair_type"),
-            "other": F.col("other_key"),
-            "card": F.col("card_key"),
-            "prior_count": F.lit(0),
-        },
+        F.when(F.col("other") == "device", details("device")).otherwise(details("address")),
         "graph_links",
         _own_id(),
     )
@@ -201,8 +217,9 @@ def ev_velocity_burst(
     hits = (
         rows.select("transaction_id", F.inline(F.array(*entries)))
         .filter(F.col("n") >= F.col("threshold"))
-        .join(hubs, ["entity_type", "entity_key"], "left_anti")
     )
+    # Busy entities are the ones that fire, so the join to the hubs is spread.
+    hits = spread_join(hits, hubs, ["entity_type", "entity_key"], "left_anti", by=["transaction_id"])
     name = F.concat_ws(" ", "entity_type", "entity_key")
     count = F.col("n").cast("long")
     return _record(
@@ -326,19 +343,20 @@ def ev_connected_high_risk(members: DataFrame, scores: DataFrame) -> DataFrame:
     )
 
 
-def ev_none(seeds: DataFrame, fired: DataFrame) -> DataFrame:
-    """A record for each seed without any other evidence."""
-    return _quiet(seeds.select("transaction_id").join(fired.select("transaction_id"), "transaction_id", "left_anti"))
+def ev_none(seeds: DataFrame, fired: DataFrame, params: ExpansionParams = ExpansionParams()) -> DataFrame:
+    """A record for each seed without any record in ``fired``, the output of the seven other rules."""
+    quiet = seeds.select("transaction_id").join(fired.select("transaction_id"), "transaction_id", "left_anti")
+    return _quiet(quiet, params)
 
 
-def _quiet(seeds: DataFrame) -> DataFrame:
+def _quiet(seeds: DataFrame, params: ExpansionParams) -> DataFrame:
     return _record(
         seeds,
         NO_EVIDENCE,
         F.lit("info"),
         F.lit("No qualifying relational evidence"),
-        F.lit("No rule found qualifying relational evidence"),
-        {"checked_rules": F.lit(7)},
+        F.lit("None of the checked rules fired for this transaction"),
+        {"checked_types": F.array(*[F.lit(t) for t in CHECKED]), "window": F.lit(_window_text(params))},
         "graph_links",
         _own_id(),
     )
@@ -405,7 +423,7 @@ def generate_evidence(
             ev_shared_device(links, members, seeds, params),
             ev_community(summary, members),
             ev_connected_high_risk(members, scores),
-            _quiet(seeds),
+            _quiet(seeds, params),
         ),
     )
     # A transaction has few records: its neighbourhood is bounded by the cap per entity.

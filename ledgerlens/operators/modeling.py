@@ -101,19 +101,24 @@ def lookup_frequency(
     df: DataFrame, fitted: DataFrame, columns: Sequence[str], value: str = "share", prefix: str = "freq_",
     row_id: str = "transaction_id",
 ) -> DataFrame:
-    """Replace categories by their fitted value; unseen and missing become -1."""
-    out = df
-    for c in columns:
-        known = fitted.filter(F.col("column_name") == c).select(
-            F.col("category").alias("_category"), F.col(value).cast("double").alias(f"{prefix}{c}")
-        )
-        keyed = out.withColumn("_category", F.col(c).cast("string"))
-        out = (
-            spread_join(keyed, known, ["_category"], "left", by=[row_id])
-            .withColumn(f"{prefix}{c}", F.coalesce(f"{prefix}{c}", F.lit(UNSEEN)))
-            .drop("_category")
-        )
-    return out
+    """Replace categories by their fitted value; unseen and missing become -1.
+
+    ``row_id`` is unique. All columns go through one join on (column, category) and one
+    fold by row, so the plan is the same for one column and for hundreds.
+    """
+    if not columns:
+        return df
+    entries = [
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("category")) for c in columns
+    ]
+    cells = df.select(row_id, F.inline(F.array(*entries))).filter(F.col("category").isNotNull())
+    known = fitted.select("column_name", "category", F.col(value).cast("double").alias("_value"))
+    found = spread_join(cells, known, ["column_name", "category"], "inner", by=[row_id])
+    folded = found.groupBy(row_id).agg(
+        *[F.max(F.when(F.col("column_name") == c, F.col("_value"))).alias(f"{prefix}{c}") for c in columns]
+    )
+    names = {f"{prefix}{c}": F.coalesce(F.col(f"{prefix}{c}"), F.lit(UNSEEN)) for c in columns}
+    return df.join(folded, row_id, "left").withColumns(names).select(*df.columns, *names)
 
 
 def feature_matrix(
@@ -157,9 +162,9 @@ def train_classifier(
     inputs: Sequence[str],
     label: str = "is_fraud",
     split: str = "split",
-    max_iter: int = 100,
-    max_depth: int = 6,
-    step_size: float = 0.1,
+    max_iter: int = 600,
+    max_depth: int = 7,
+    step_size: float = 0.05,
     subsampling_rate: float = 0.8,
     seed: int = SEED,
 ) -> PipelineModel:

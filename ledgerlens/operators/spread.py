@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 # Keys with more rows than this are split into pieces of about this size.
 HOT_ROWS = 1_000_000
 
-# The most frequent keys looked at. Any other key holds less than 1/1000 of all rows,
-# so splitting it is not needed, and the list sent to all executors stays this short.
-HOT_KEYS = 1_000
+# The most frequent keys looked at, per shuffle partition. Any other key holds less than a
+# quarter of a mean partition, so splitting it gains nothing, whatever the size of the table.
+KEYS_PER_PARTITION = 4
 
 
 def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows and the number of pieces, at most ``HOT_KEYS`` rows."""
+    """Keys with more than ``hot_rows`` rows and the number of pieces, a few per shuffle partition."""
     counts = df.groupBy(*on).agg(F.count("*").alias("_rows"))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         counts.filter(F.col("_rows") > hot_rows)
         .orderBy(F.desc("_rows"))
-        .limit(HOT_KEYS)
+        .limit(KEYS_PER_PARTITION * partitions)
         .select(*on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_pieces"))
     )
 
@@ -39,17 +40,30 @@ def spread_join(
     ``by`` names the columns of ``left`` whose hash picks the piece (default: all).
     ``right`` rows of a hot key are repeated once per piece. ``how``: inner, left,
     left_semi or left_anti.
+
+    One job counts the keys of ``left`` and brings back the few hot ones, so the plan
+    holds ``left`` once and chains of such joins grow by one input each. Rows with a NULL
+    key match nothing and go to any piece.
     """
-    hot = F.broadcast(hot_keys(left, on, hot_rows))
+    on = list(on)
+    hot = hot_keys(left, on, hot_rows)
+    found = hot.collect()  # at most KEYS_PER_PARTITION per shuffle partition
+    if not found:
+        return left.join(right, on, how)
+    known = F.broadcast(left.sparkSession.createDataFrame(found, hot.schema))
     by = list(by or left.columns)
     pieces = F.coalesce("_pieces", F.lit(1))
+    missing = F.lit(False)
+    for c in on:
+        missing = missing | F.col(c).isNull()
+    spread = F.when(missing, F.lit(max(r["_pieces"] for r in found))).otherwise(pieces)
     left_salted = (
-        left.join(hot, list(on), "left")
-        .withColumn("_piece", F.pmod(F.xxhash64(*by), pieces).cast("int"))
+        left.join(known, on, "left")
+        .withColumn("_piece", F.pmod(F.xxhash64(*by), spread).cast("int"))
         .drop("_pieces")
     )
     right_salted = (
-        right.join(hot, list(on), "left")
+        right.join(known, on, "left")
         .withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
         .drop("_pieces")
     )

@@ -13,15 +13,31 @@ from ledgerlens.plans.features import _STRICT, _history_sql
 from ledgerlens.plans.registry import query, r6
 from ledgerlens.plans.tables import transactions
 
-# Every transaction is a seed. Hub limit and cap are low enough to matter on small data.
-PARAMS = G.ExpansionParams(hub_degree_max=110, neighbor_cap=20)
+# Every transaction is a seed. The tight limits prune and cap on small data as well.
+DEFAULT = G.ExpansionParams()
+TIGHT = G.ExpansionParams(hub_degree_max=110, neighbor_cap=20)
+
+
+def graph_query(name, sql=None):
+    """Register a query of (spark, folder, params) with the default limits and, as ``<name>_tight``, with the tight ones."""
+
+    def register(fn):
+        for suffix, params in (("", DEFAULT), ("_tight", TIGHT)):
+            limits = {"{HUB}": str(params.hub_degree_max), "{CAP}": str(params.neighbor_cap)}
+            text = sql
+            for mark, value in limits.items():
+                text = text and text.replace(mark, value)
+            query(name + suffix, text)(lambda spark, folder, params=params: fn(spark, folder, params))
+        return fn
+
+    return register
 
 _LINKS = """links AS (
   SELECT 'CARD' AS entity_type, card_key AS entity_key, transaction_id, ts FROM txn
   UNION ALL SELECT 'DEVICE', device_key, transaction_id, ts FROM txn WHERE device_key IS NOT NULL
   UNION ALL SELECT 'ADDRESS', addr_key, transaction_id, ts FROM txn WHERE addr_key IS NOT NULL),
 deg AS (SELECT entity_type, entity_key, count(*) AS degree FROM links GROUP BY ALL),
-kept AS (SELECT links.* FROM links JOIN deg USING (entity_type, entity_key) WHERE degree <= 110)"""
+kept AS (SELECT links.* FROM links JOIN deg USING (entity_type, entity_key) WHERE degree <= {HUB})"""
 
 _EXPAND = f"""{_LINKS},
 cand AS (SELECT s.transaction_id AS seed_id, m.entity_type, m.entity_key, m.transaction_id AS member_id,
@@ -30,7 +46,7 @@ cand AS (SELECT s.transaction_id AS seed_id, m.entity_type, m.entity_key, m.tran
     count(*) OVER (PARTITION BY s.transaction_id, m.entity_type, m.entity_key) AS in_window
   FROM kept s JOIN kept m ON s.entity_type = m.entity_type AND s.entity_key = m.entity_key
    AND m.ts >= s.ts - 14 * 86400 AND m.ts < s.ts + 2 * 86400),
-members AS (SELECT DISTINCT seed_id, member_id, member_ts FROM cand WHERE rn <= 20
+members AS (SELECT DISTINCT seed_id, member_id, member_ts FROM cand WHERE rn <= {{CAP}}
   UNION SELECT transaction_id, transaction_id, ts FROM txn)"""
 
 
@@ -52,50 +68,50 @@ def link_stats(spark, folder):
     return G.link_stats(_links(spark, folder)[1])
 
 
-@query("entity_degree", f"WITH {{TXN}}, {_LINKS} SELECT *, degree > 110 AS is_hub FROM deg")
-def entity_degree(spark, folder):
-    return G.entity_degree(_links(spark, folder)[1], PARAMS.hub_degree_max)
+@graph_query("entity_degree", f"WITH {{TXN}}, {_LINKS} SELECT *, degree > {{HUB}} AS is_hub FROM deg")
+def entity_degree(spark, folder, params):
+    return G.entity_degree(_links(spark, folder)[1], params.hub_degree_max)
 
 
-@query(
+@graph_query(
     "seed_entities",
     f"WITH {{TXN}}, {_LINKS} SELECT transaction_id AS seed_id, entity_type, entity_key FROM kept",
 )
-def seed_entities(spark, folder):
+def seed_entities(spark, folder, params):
     txn, links = _links(spark, folder)
-    return G.seed_entities(links, txn, PARAMS.hub_degree_max)
+    return G.seed_entities(links, txn, params.hub_degree_max)
 
 
-@query(
+@graph_query(
     "window_neighbours",
     f"""WITH {{TXN}}, {_LINKS} SELECT q.transaction_id AS query_id, l.entity_type, l.entity_key, l.transaction_id, l.ts
 FROM kept q JOIN kept l USING (entity_type, entity_key) WHERE l.ts >= q.ts - 86400 AND l.ts < q.ts""",
 )
-def window_neighbours(spark, folder):
+def window_neighbours(spark, folder, params):
     _, links = _links(spark, folder)
     queries = links.select(F.col("transaction_id").alias("query_id"), "entity_type", "entity_key", F.col("ts").alias("t"))
-    day_before = G.ExpansionParams(back_s=86_400, fwd_s=0, hub_degree_max=PARAMS.hub_degree_max)
+    day_before = G.ExpansionParams(back_s=86_400, fwd_s=0, hub_degree_max=params.hub_degree_max)
     return G.window_neighbours(links, queries, day_before)
 
 
-@query("expand", f"WITH {{TXN}}, {_EXPAND} SELECT * FROM members")
-def expand(spark, folder):
+@graph_query("expand", f"WITH {{TXN}}, {_EXPAND} SELECT * FROM members")
+def expand(spark, folder, params):
     txn, links = _links(spark, folder)
-    return G.expand(links, txn, PARAMS)
+    return G.expand(links, txn, params)
 
 
-@query(
+@graph_query(
     "expand_detailed",
     f"""WITH {{TXN}}, {_EXPAND}
 SELECT seed_id, entity_type, entity_key, degree, false AS pruned, max(in_window) AS neighbors_in_window,
-  sum((rn <= 20 AND member_id <> seed_id)::INT)::BIGINT AS retained_neighbors, max(in_window) > 20 AS cap_applied
+  sum((rn <= {{CAP}} AND member_id <> seed_id)::INT)::BIGINT AS retained_neighbors, max(in_window) > {{CAP}} AS cap_applied
 FROM cand JOIN deg USING (entity_type, entity_key) GROUP BY ALL
 UNION ALL SELECT transaction_id, entity_type, entity_key, degree, true, NULL, 0, false
-FROM links JOIN deg USING (entity_type, entity_key) WHERE degree > 110""",
+FROM links JOIN deg USING (entity_type, entity_key) WHERE degree > {{HUB}}""",
 )
-def expand_detailed(spark, folder):
+def expand_detailed(spark, folder, params):
     txn, links = _links(spark, folder)
-    return G.expand_detailed(links, txn, PARAMS)
+    return G.expand_detailed(links, txn, params)
 
 
 _EDGES = """edges AS (SELECT m.seed_id, m.member_id, k.entity_type, k.entity_key
@@ -104,62 +120,62 @@ _EDGES = """edges AS (SELECT m.seed_id, m.member_id, k.entity_type, k.entity_key
     AND s.entity_key = k.entity_key))"""
 
 
-@query("incidence", f"WITH {{TXN}}, {_EXPAND}, {_EDGES} SELECT * FROM edges")
-def incidence(spark, folder):
+@graph_query("incidence", f"WITH {{TXN}}, {_EXPAND}, {_EDGES} SELECT * FROM edges")
+def incidence(spark, folder, params):
     txn, links = _links(spark, folder)
-    return G.incidence(links, G.expand(links, txn, PARAMS), txn, PARAMS).drop("member_ts")
+    return G.incidence(links, G.expand(links, txn, params), txn, params).drop("member_ts")
 
 
-@query(
+@graph_query(
     "expansion_nodes",
     f"""WITH {{TXN}}, {_EXPAND}
 SELECT seed_id, 'txn:' || member_id AS node_id, 'TRANSACTION' AS node_type, seed_id = member_id AS is_seed FROM members
 UNION ALL SELECT transaction_id, entity_type || ':' || entity_key, entity_type, false FROM kept""",
 )
-def expansion_nodes(spark, folder):
+def expansion_nodes(spark, folder, params):
     txn, links = _links(spark, folder)
-    return G.expansion_graph(links, txn, PARAMS)[0]
+    return G.expansion_graph(links, txn, params)[0]
 
 
-@query(
+@graph_query(
     "expansion_edges",
     f"""WITH {{TXN}}, {_EXPAND}, {_EDGES} SELECT seed_id, 'txn:' || member_id AS source,
   entity_type || ':' || entity_key AS target, 'HAS_ENTITY' AS relationship_type FROM edges""",
 )
-def expansion_edges(spark, folder):
+def expansion_edges(spark, folder, params):
     txn, links = _links(spark, folder)
-    return G.expansion_graph(links, txn, PARAMS)[1]
+    return G.expansion_graph(links, txn, params)[1]
 
 
 _SUMMARY = """sizes AS (SELECT seed_id, count(*) AS transaction_count,
    ((max(member_ts) - min(member_ts)) * 2 + 36) // 72 / 100.0::DOUBLE AS time_span_hours,
    round(max(risk_score), 4) AS max_risk_score
   FROM members JOIN txn ON member_id = transaction_id GROUP BY 1),
-ents AS (SELECT transaction_id AS seed_id, count(*) FILTER (degree <= 110) AS entity_count,
-   count(*) FILTER (degree <= 110 AND entity_type = 'CARD') AS card_count,
-   count(*) FILTER (degree <= 110 AND entity_type = 'ADDRESS') AS address_count,
-   count(*) FILTER (degree <= 110 AND entity_type = 'DEVICE') AS device_count,
-   count(*) FILTER (degree > 110) AS hub_pruned_count
+ents AS (SELECT transaction_id AS seed_id, count(*) FILTER (degree <= {HUB}) AS entity_count,
+   count(*) FILTER (degree <= {HUB} AND entity_type = 'CARD') AS card_count,
+   count(*) FILTER (degree <= {HUB} AND entity_type = 'ADDRESS') AS address_count,
+   count(*) FILTER (degree <= {HUB} AND entity_type = 'DEVICE') AS device_count,
+   count(*) FILTER (degree > {HUB}) AS hub_pruned_count
   FROM links JOIN deg USING (entity_type, entity_key) GROUP BY 1),
 summary AS (SELECT * FROM sizes JOIN ents USING (seed_id))"""
 
 
-@query("community_summary", f"WITH {{TXN}}, {_EXPAND}, {_SUMMARY} SELECT * FROM summary")
-def community_summary(spark, folder):
+@graph_query("community_summary", f"WITH {{TXN}}, {_EXPAND}, {_SUMMARY} SELECT * FROM summary")
+def community_summary(spark, folder, params):
     txn, links = _links(spark, folder)
-    return G.community_summary(links, txn, txn, PARAMS)
+    return G.community_summary(links, txn, txn, params)
 
 
-@query(
+@graph_query(
     "graph_context",
     f"""WITH {{TXN}}, {_EXPAND}, {_SUMMARY} SELECT summary.*, ts AS seed_ts, risk_score,
   ts - 14 * 86400 AS window_start, ts + 2 * 86400 AS window_end, 'v1' AS graph_version, substr(sha256(
-  '{{"back_s": 1209600, "depth": 1, "fwd_s": 172800, "graph_version": "v1", "hub_degree_max": 110, "neighbor_cap": 20}}'
+  '{{"back_s": 1209600, "depth": 1, "fwd_s": 172800, "graph_version": "v1", "hub_degree_max": {{HUB}}, "neighbor_cap": {{CAP}}}}'
   ), 1, 16) AS params_hash FROM summary JOIN txn ON seed_id = transaction_id""",
 )
-def graph_context(spark, folder):
+def graph_context(spark, folder, params):
     txn, links = _links(spark, folder)
-    return G.graph_context(links, txn, txn, PARAMS)
+    return G.graph_context(links, txn, txn, params)
 
 
 # -- components -------------------------------------------------------------------
@@ -302,7 +318,8 @@ def ev_unusual_hour(spark, folder):
   UNION ALL SELECT *, 'addr_card', 'address', addr_key, 'low' FROM rows_f WHERE is_new_addr_card_pair = 1)
 SELECT transaction_id, 'NEW_PAIRING' AS evidence_type, severity, 'New ' || other || '-card pairing' AS title,
   'Card ' || card_key || ' was never seen with ' || other || ' ' || k || ' before' AS description,
-  '{{"card":"' || card_key || '","other":"' || k || '","pair_type":"' || pair_type || '","prior_count":0}}' AS details FROM h""",
+  CASE other WHEN 'device' THEN '{{"card":"' || card_key || '","device":"' || k || '","pair_type":"device_card","prior_count":0}}'
+   ELSE '{{"address":"' || k || '","card":"' || card_key || '","pair_type":"addr_card","prior_count":0}}' END AS details FROM h""",
 )
 def ev_new_pairing(spark, folder):
     return _only(E.ev_new_pairing(_featured(spark, folder)))
@@ -315,7 +332,7 @@ def _burst(column: str, kind: str, key: str, window: str, least: int) -> str:
     )
 
 
-@query(
+@graph_query(
     "ev_velocity_burst",
     f"""WITH {{TXN}}, {_LINKS}, {_ROWS}, h AS ({_burst("card_tx_1h", "CARD", "card_key", "1h", 3)}
   UNION ALL {_burst("card_tx_24h", "CARD", "card_key", "24h", 8)}
@@ -324,15 +341,15 @@ def _burst(column: str, kind: str, key: str, window: str, least: int) -> str:
 SELECT transaction_id, 'VELOCITY_BURST' AS evidence_type, 'medium' AS severity, 'Velocity burst for ' || t || ' ' || k AS title,
   t || ' ' || k || ' has ' || n || ' transactions in the last ' || win || ' (threshold ' || least || ')' AS description,
   '{{"count":' || n || ',"entity":"' || t || ':' || k || '","threshold":' || least || ',"window":"' || win || '"}}' AS details
-FROM h JOIN deg ON entity_type = t AND entity_key = k WHERE degree <= 110""",
+FROM h JOIN deg ON entity_type = t AND entity_key = k WHERE degree <= {{HUB}}""",
 )
-def ev_velocity_burst(spark, folder):
+def ev_velocity_burst(spark, folder, params):
     _, links = _links(spark, folder)
-    hubs = G.entity_degree(links, PARAMS.hub_degree_max).filter("is_hub").select("entity_type", "entity_key")
+    hubs = G.entity_degree(links, params.hub_degree_max).filter("is_hub").select("entity_type", "entity_key")
     return _only(E.ev_velocity_burst(_featured(spark, folder), hubs))
 
 
-@query(
+@graph_query(
     "ev_shared_device",
     f"""WITH {{TXN}}, {_EXPAND}, u AS (SELECT m.seed_id, k.entity_key AS dev, list(m.member_id ORDER BY m.member_id)
     FILTER (m.member_id <> m.seed_id) AS ids
@@ -343,12 +360,12 @@ SELECT seed_id AS transaction_id, 'SHARED_DEVICE_LINK' AS evidence_type, 'medium
   '{{"connected_transaction_ids":[' || array_to_string(ids[1:10], ',') || '],"count":' || len(ids) || ',"device":"' || dev
    || '","window":"-14d/+2d"}}' AS details FROM u WHERE len(ids) >= 2""",
 )
-def ev_shared_device(spark, folder):
+def ev_shared_device(spark, folder, params):
     txn, links = _links(spark, folder)
-    return _only(E.ev_shared_device(links, G.expand(links, txn, PARAMS), txn, PARAMS))
+    return _only(E.ev_shared_device(links, G.expand(links, txn, params), txn, params))
 
 
-@query(
+@graph_query(
     "ev_community",
     f"""WITH {{TXN}}, {_EXPAND}, {_SUMMARY}
 SELECT seed_id AS transaction_id, 'COMMUNITY_STATS' AS evidence_type, 'info' AS severity, 'Investigation community' AS title,
@@ -360,17 +377,17 @@ SELECT seed_id AS transaction_id, 'COMMUNITY_STATS' AS evidence_type, 'info' AS
    || transaction_count || '}}' AS details
 FROM summary WHERE transaction_count >= 3""",
 )
-def ev_community(spark, folder):
+def ev_community(spark, folder, params):
     txn, links = _links(spark, folder)
-    members = G.expand(links, txn, PARAMS)
-    return _only(E.ev_community(G.community_summary(links, txn, txn, PARAMS, members), members))
+    members = G.expand(links, txn, params)
+    return _only(E.ev_community(G.community_summary(links, txn, txn, params, members), members))
 
 
 _BAND = """CASE WHEN risk_score >= 0.85 THEN 'CRITICAL' WHEN risk_score >= 0.6 THEN 'HIGH'
  WHEN risk_score >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END"""
 
 
-@query(
+@graph_query(
     "ev_connected_high_risk",
     f"""WITH {{TXN}}, {_EXPAND}
 SELECT seed_id AS transaction_id, 'CONNECTED_HIGH_RISK' AS evidence_type, 'high' AS severity,
@@ -380,23 +397,37 @@ SELECT seed_id AS transaction_id, 'CONNECTED_HIGH_RISK' AS evidence_type, 'high'
    || {_dec('risk_score + 1e-9', 4)} || ',"threshold":0.60}}' AS details
 FROM members JOIN txn ON member_id = transaction_id WHERE member_id <> seed_id AND risk_score >= 0.6""",
 )
-def ev_connected_high_risk(spark, folder):
+def ev_connected_high_risk(spark, folder, params):
     txn, links = _links(spark, folder)
     # The shift keeps scores that are exact ties at four digits away from the rounding edge.
     scores = txn.select("transaction_id", (F.col("risk_score") + 1e-9).alias("risk_score"), risk_band(F.col("risk_score")).alias("risk_band"))
     scores = scores.filter(F.col("risk_score") - 1e-9 >= E.CONNECTED_SCORE_MIN)
-    return _only(E.ev_connected_high_risk(G.expand(links, txn, PARAMS), scores))
+    return _only(E.ev_connected_high_risk(G.expand(links, txn, params), scores))
 
 
-@query(
+_BURSTS = f"""{_burst("card_tx_1h", "CARD", "card_key", "1h", 3)} UNION ALL {_burst("card_tx_24h", "CARD", "card_key", "24h", 8)}
+ UNION ALL {_burst("dev_tx_1h", "DEVICE", "device_key", "1h", 3)} UNION ALL {_burst("dev_tx_24h", "DEVICE", "device_key", "24h", 8)}"""
+
+
+@graph_query(
     "ev_none",
-    f"""WITH {{TXN}}, {_ROWS}, {_AMOUNT} SELECT transaction_id, 'NO_RELATIONAL_EVIDENCE' AS evidence_type, 'info' AS severity,
-  'No qualifying relational evidence' AS title, 'No rule found qualifying relational evidence' AS description,
-  '{{"checked_rules":7}}' AS details FROM txn WHERE transaction_id NOT IN (SELECT transaction_id FROM amount_ev)""",
+    f"""WITH {{TXN}}, {_EXPAND}, {_ROWS}, burst AS ({_BURSTS}), fired AS (
+  SELECT transaction_id FROM rows_f WHERE abs(amt_z_card) >= 2 OR abs(amt_z_device) >= 2 OR hour_dev_card >= 0.35
+    OR hour_dev_device >= 0.35 OR is_new_device_card_pair = 1 OR is_new_addr_card_pair = 1
+  UNION SELECT transaction_id FROM burst JOIN deg ON entity_type = t AND entity_key = k WHERE degree <= {{HUB}}
+  -- two other members with the seed's device are also a community of three
+  UNION SELECT seed_id FROM members GROUP BY 1 HAVING count(*) >= 3
+  UNION SELECT seed_id FROM members JOIN txn ON member_id = transaction_id WHERE member_id <> seed_id AND risk_score >= 0.6)
+SELECT transaction_id, 'NO_RELATIONAL_EVIDENCE' AS evidence_type, 'info' AS severity, 'No qualifying relational evidence' AS title,
+  'None of the checked rules fired for this transaction' AS description,
+  '{{"checked_types":["NEW_PAIRING","AMOUNT_DEVIATION","UNUSUAL_HOUR","VELOCITY_BURST","SHARED_DEVICE_LINK","COMMUNITY_STATS",'
+   || '"CONNECTED_HIGH_RISK"],"window":"-14d/+2d"}}' AS details FROM txn WHERE transaction_id NOT IN (SELECT transaction_id FROM fired)""",
 )
-def ev_none(spark, folder):
-    rows = _featured(spark, folder)
-    return _only(E.ev_none(rows, E.ev_amount_deviation(rows)))
+def ev_none(spark, folder, params):
+    """What the other seven rules leave."""
+    txn, links = _links(spark, folder)
+    made = E.generate_evidence(_featured(spark, folder), links, txn, params)
+    return _only(E.ev_none(txn, made.filter(F.col("evidence_type") != E.NO_EVIDENCE), params))
 
 
 _FINAL = f"""{_AMOUNT}, seeded AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('{{"description":"' || description || '","details":' || details
@@ -436,8 +467,8 @@ def evidence_counts(spark, folder):
     return E.evidence_counts(E.ev_amount_deviation(_featured(spark, folder)))
 
 
-@query("generate_evidence")
-def generate_evidence(spark, folder):
+@graph_query("generate_evidence")
+def generate_evidence(spark, folder, params):
     """All eight rules for all transactions; ids and hashes included."""
     txn, links = _links(spark, folder)
-    return E.generate_evidence(_featured(spark, folder), links, txn, PARAMS)
+    return E.generate_evidence(_featured(spark, folder), links, txn, params)

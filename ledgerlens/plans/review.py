@@ -343,7 +343,7 @@ def _trained(spark, folder, relational=True):
     inputs = [c for c in matrix.columns if c not in ("transaction_id", "split", "is_fraud")]
     filled, names = M.fill_missing(matrix, inputs)
     filled = cut_lineage(filled)
-    return M.train_classifier(filled, names, max_iter=5, max_depth=3), filled, names
+    return M.train_classifier(filled, names), filled, names
 
 
 @query("train_and_score")
@@ -378,7 +378,7 @@ def shuffled_control(spark, folder):
     for version, rows in (("aligned", matrix), ("shuffled", shuffled)):
         inputs = [c for c in rows.columns if c not in ("transaction_id", "split", "is_fraud")]
         filled, names = M.fill_missing(rows, inputs)
-        scored.append(M.score_rows(M.train_classifier(filled, names, max_iter=3, max_depth=3), filled, version))
+        scored.append(M.score_rows(M.train_classifier(filled, names), filled, version))
     labels = matrix.filter("split = 'test'").select("transaction_id", "is_fraud")
     both = scored[0].unionByName(scored[1]).join(labels, "transaction_id", "inner")
     return X.ranking_metrics(both, "is_fraud", "risk_score", ["model_version"])

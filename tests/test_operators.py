@@ -65,6 +65,31 @@ def test_spread_join_equals_join(spark):
         assert a == b, how
 
 
+def test_hot_missing_keys_are_spread(spark):
+    left = spark.createDataFrame([(None if i % 2 else f"k{i % 6}", i) for i in range(80)], "k string, i long")
+    right = spark.createDataFrame([("k0", 2), (None, 3)], "k string, v long")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        a = sorted(map(str, spread_join(left, right, ["k"], how, hot_rows=5).collect()))
+        assert a == sorted(map(str, left.join(right, "k", how).collect())), how
+
+
+def test_encoding_many_columns_is_one_join(spark):
+    names = [f"c{i}" for i in range(30)]
+    rows = spark.range(40).select(
+        F.col("id").alias("transaction_id"), *[F.pmod(F.col("id"), F.lit(i + 2)).cast("string").alias(n) for i, n in enumerate(names)]
+    )
+
+    def encoded(columns):
+        return M.lookup_frequency(rows, M.fit_frequency(rows.filter("transaction_id < 30"), columns), columns)
+
+    def scans(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Range (")
+
+    assert scans(encoded(names)) == scans(encoded(names[:1]))
+    got = {r["transaction_id"]: r["freq_c29"] for r in encoded(names).collect()}
+    assert got[0] == pytest.approx(1 / 30) and got[30] == -1.0 and len(got) == 40
+
+
 def test_components_with_hot_node(spark):
     rnd = random.Random(1)
     edges = [(f"n{rnd.randrange(60):02d}", f"n{rnd.randrange(60):02d}") for _ in range(45)]
