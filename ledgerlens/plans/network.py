@@ -296,31 +296,31 @@ def ev_amount_deviation(spark, folder):
     return _only(E.ev_amount_deviation(_featured(spark, folder)))
 
 
-@query(
-    "ev_unusual_hour",
-    f"""WITH {{TXN}}, {_ROWS}, h AS (
+_HOUR = f"""hour_hits AS (
   SELECT *, 'card' AS entity, card_key AS k, hour_dev_card AS d FROM rows_f WHERE hour_dev_card >= 0.35
-  UNION ALL SELECT *, 'device', device_key, hour_dev_device FROM rows_f WHERE hour_dev_device >= 0.35)
-SELECT transaction_id, 'UNUSUAL_HOUR' AS evidence_type, 'low' AS severity, 'Unusual hour for ' || entity AS title,
+  UNION ALL SELECT *, 'device', device_key, hour_dev_device FROM rows_f WHERE hour_dev_device >= 0.35),
+hour_ev AS (SELECT transaction_id, 'UNUSUAL_HOUR' AS evidence_type, 'low' AS severity, 'Unusual hour for ' || entity AS title,
   'Hour ' || ((ts % 86400) // 3600) || ' is ' || {_dec('d', 2)} || ' (0-1) from the usual hour of ' || entity || ' ' || k AS description,
   '{{"hour_dev":' || {_dec('d', 3)} || ',"metric":"circular_hour_distance","reference_entity":"' || entity || ':' || k
-   || '","threshold":0.35,"transaction_hour":' || ((ts % 86400) // 3600) || '}}' AS details FROM h""",
-)
+   || '","threshold":0.35,"transaction_hour":' || ((ts % 86400) // 3600) || '}}' AS details FROM hour_hits)"""
+
+
+@query("ev_unusual_hour", f"WITH {{TXN}}, {_ROWS}, {_HOUR} SELECT {_COLUMNS} FROM hour_ev")
 def ev_unusual_hour(spark, folder):
     return _only(E.ev_unusual_hour(_featured(spark, folder)))
 
 
-@query(
-    "ev_new_pairing",
-    f"""WITH {{TXN}}, {_ROWS}, h AS (
+_PAIRING = f"""pair_hits AS (
   SELECT *, 'device_card' AS pair_type, 'device' AS other, device_key AS k, 'medium' AS severity FROM rows_f
    WHERE is_new_device_card_pair = 1
-  UNION ALL SELECT *, 'addr_card', 'address', addr_key, 'low' FROM rows_f WHERE is_new_addr_card_pair = 1)
-SELECT transaction_id, 'NEW_PAIRING' AS evidence_type, severity, 'New ' || other || '-card pairing' AS title,
+  UNION ALL SELECT *, 'addr_card', 'address', addr_key, 'low' FROM rows_f WHERE is_new_addr_card_pair = 1),
+pair_ev AS (SELECT transaction_id, 'NEW_PAIRING' AS evidence_type, severity, 'New ' || other || '-card pairing' AS title,
   'Card ' || card_key || ' was never seen with ' || other || ' ' || k || ' before' AS description,
   CASE other WHEN 'device' THEN '{{"card":"' || card_key || '","device":"' || k || '","pair_type":"device_card","prior_count":0}}'
-   ELSE '{{"address":"' || k || '","card":"' || card_key || '","pair_type":"addr_card","prior_count":0}}' END AS details FROM h""",
-)
+   ELSE '{{"address":"' || k || '","card":"' || card_key || '","pair_type":"addr_card","prior_count":0}}' END AS details FROM pair_hits)"""
+
+
+@query("ev_new_pairing", f"WITH {{TXN}}, {_ROWS}, {_PAIRING} SELECT {_COLUMNS} FROM pair_ev")
 def ev_new_pairing(spark, folder):
     return _only(E.ev_new_pairing(_featured(spark, folder)))
 
@@ -332,51 +332,52 @@ def _burst(column: str, kind: str, key: str, window: str, least: int) -> str:
     )
 
 
-@graph_query(
-    "ev_velocity_burst",
-    f"""WITH {{TXN}}, {_LINKS}, {_ROWS}, h AS ({_burst("card_tx_1h", "CARD", "card_key", "1h", 3)}
-  UNION ALL {_burst("card_tx_24h", "CARD", "card_key", "24h", 8)}
-  UNION ALL {_burst("dev_tx_1h", "DEVICE", "device_key", "1h", 3)}
-  UNION ALL {_burst("dev_tx_24h", "DEVICE", "device_key", "24h", 8)})
-SELECT transaction_id, 'VELOCITY_BURST' AS evidence_type, 'medium' AS severity, 'Velocity burst for ' || t || ' ' || k AS title,
+_BURSTS = f"""{_burst("card_tx_1h", "CARD", "card_key", "1h", 3)} UNION ALL {_burst("card_tx_24h", "CARD", "card_key", "24h", 8)}
+ UNION ALL {_burst("dev_tx_1h", "DEVICE", "device_key", "1h", 3)} UNION ALL {_burst("dev_tx_24h", "DEVICE", "device_key", "24h", 8)}"""
+
+
+_VELOCITY = f"""burst AS ({_BURSTS}),
+burst_ev AS (SELECT transaction_id, 'VELOCITY_BURST' AS evidence_type, 'medium' AS severity, 'Velocity burst for ' || t || ' ' || k AS title,
   t || ' ' || k || ' has ' || n || ' transactions in the last ' || win || ' (threshold ' || least || ')' AS description,
   '{{"count":' || n || ',"entity":"' || t || ':' || k || '","threshold":' || least || ',"window":"' || win || '"}}' AS details
-FROM h JOIN deg ON entity_type = t AND entity_key = k WHERE degree <= {{HUB}}""",
-)
+ FROM burst JOIN deg ON entity_type = t AND entity_key = k WHERE degree <= {{HUB}})"""
+
+
+@graph_query("ev_velocity_burst", f"WITH {{TXN}}, {_LINKS}, {_ROWS}, {_VELOCITY} SELECT {_COLUMNS} FROM burst_ev")
 def ev_velocity_burst(spark, folder, params):
     _, links = _links(spark, folder)
     hubs = G.entity_degree(links, params.hub_degree_max).filter("is_hub").select("entity_type", "entity_key")
     return _only(E.ev_velocity_burst(_featured(spark, folder), hubs))
 
 
-@graph_query(
-    "ev_shared_device",
-    f"""WITH {{TXN}}, {_EXPAND}, u AS (SELECT m.seed_id, k.entity_key AS dev, list(m.member_id ORDER BY m.member_id)
+_SHARED = """u AS (SELECT m.seed_id, k.entity_key AS dev, list(m.member_id ORDER BY m.member_id)
     FILTER (m.member_id <> m.seed_id) AS ids
   FROM members m JOIN kept k ON k.transaction_id = m.member_id AND k.entity_type = 'DEVICE'
-  JOIN kept s ON s.transaction_id = m.seed_id AND s.entity_type = 'DEVICE' AND s.entity_key = k.entity_key GROUP BY 1, 2)
-SELECT seed_id AS transaction_id, 'SHARED_DEVICE_LINK' AS evidence_type, 'medium' AS severity, 'Shared device ' || dev AS title,
+  JOIN kept s ON s.transaction_id = m.seed_id AND s.entity_type = 'DEVICE' AND s.entity_key = k.entity_key GROUP BY 1, 2),
+shared_ev AS (SELECT seed_id AS transaction_id, 'SHARED_DEVICE_LINK' AS evidence_type, 'medium' AS severity, 'Shared device ' || dev AS title,
   'Device ' || dev || ' links ' || len(ids) || ' other transactions' AS description,
-  '{{"connected_transaction_ids":[' || array_to_string(ids[1:10], ',') || '],"count":' || len(ids) || ',"device":"' || dev
-   || '","window":"-14d/+2d"}}' AS details FROM u WHERE len(ids) >= 2""",
-)
+  '{"connected_transaction_ids":[' || array_to_string(ids[1:10], ',') || '],"count":' || len(ids) || ',"device":"' || dev
+   || '","window":"-14d/+2d"}' AS details, ids FROM u WHERE len(ids) >= 2)"""
+
+
+@graph_query("ev_shared_device", f"WITH {{TXN}}, {_EXPAND}, {_SHARED} SELECT {_COLUMNS} FROM shared_ev")
 def ev_shared_device(spark, folder, params):
     txn, links = _links(spark, folder)
     return _only(E.ev_shared_device(links, G.expand(links, txn, params), txn, params))
 
 
-@graph_query(
-    "ev_community",
-    f"""WITH {{TXN}}, {_EXPAND}, {_SUMMARY}
-SELECT seed_id AS transaction_id, 'COMMUNITY_STATS' AS evidence_type, 'info' AS severity, 'Investigation community' AS title,
+_COMMUNITY = f"""{_SUMMARY},
+community_ev AS (SELECT seed_id AS transaction_id, 'COMMUNITY_STATS' AS evidence_type, 'info' AS severity, 'Investigation community' AS title,
   'Community of ' || transaction_count || ' transactions and ' || entity_count || ' entities over ' || {_dec('time_span_hours', 2)}
    || ' hours' AS description,
   '{{"address_count":' || address_count || ',"card_count":' || card_count || ',"device_count":' || device_count
    || ',"entity_count":' || entity_count || ',"hub_pruned_count":' || hub_pruned_count || ',"max_risk_score":'
    || {_dec('max_risk_score', 4)} || ',"time_span_hours":' || {_dec('time_span_hours', 2)} || ',"transaction_count":'
    || transaction_count || '}}' AS details
-FROM summary WHERE transaction_count >= 3""",
-)
+FROM summary WHERE transaction_count >= 3)"""
+
+
+@graph_query("ev_community", f"WITH {{TXN}}, {_EXPAND}, {_COMMUNITY} SELECT {_COLUMNS} FROM community_ev")
 def ev_community(spark, folder, params):
     txn, links = _links(spark, folder)
     members = G.expand(links, txn, params)
@@ -387,42 +388,40 @@ _BAND = """CASE WHEN risk_score >= 0.85 THEN 'CRITICAL' WHEN risk_score >= 0.6 T
  WHEN risk_score >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END"""
 
 
-@graph_query(
-    "ev_connected_high_risk",
-    f"""WITH {{TXN}}, {_EXPAND}
-SELECT seed_id AS transaction_id, 'CONNECTED_HIGH_RISK' AS evidence_type, 'high' AS severity,
+_CONNECTED = f"""connected_ev AS (SELECT seed_id AS transaction_id, 'CONNECTED_HIGH_RISK' AS evidence_type, 'high' AS severity,
   'Connected high-risk transaction ' || member_id AS title,
   'Connected transaction ' || member_id || ' has risk ' || {_dec('risk_score + 1e-9', 3)} || ' (' || {_BAND} || ')' AS description,
   '{{"connected_transaction_id":' || member_id || ',"risk_band":"' || {_BAND} || '","risk_score":'
-   || {_dec('risk_score + 1e-9', 4)} || ',"threshold":0.60}}' AS details
-FROM members JOIN txn ON member_id = transaction_id WHERE member_id <> seed_id AND risk_score >= 0.6""",
-)
+   || {_dec('risk_score + 1e-9', 4)} || ',"threshold":0.60}}' AS details, member_id
+ FROM members JOIN txn ON member_id = transaction_id WHERE member_id <> seed_id AND risk_score >= 0.6)"""
+
+
+def _shifted(txn):
+    """Scores moved off exact ties at four digits, with the band they have unmoved."""
+    return txn.select("transaction_id", (F.col("risk_score") + 1e-9).alias("risk_score"), risk_band(F.col("risk_score")).alias("risk_band"))
+
+
+@graph_query("ev_connected_high_risk", f"WITH {{TXN}}, {_EXPAND}, {_CONNECTED} SELECT {_COLUMNS} FROM connected_ev")
 def ev_connected_high_risk(spark, folder, params):
     txn, links = _links(spark, folder)
-    # The shift keeps scores that are exact ties at four digits away from the rounding edge.
-    scores = txn.select("transaction_id", (F.col("risk_score") + 1e-9).alias("risk_score"), risk_band(F.col("risk_score")).alias("risk_band"))
-    scores = scores.filter(F.col("risk_score") - 1e-9 >= E.CONNECTED_SCORE_MIN)
+    scores = _shifted(txn).filter(F.col("risk_score") - 1e-9 >= E.CONNECTED_SCORE_MIN)
     return _only(E.ev_connected_high_risk(G.expand(links, txn, params), scores))
 
 
-_BURSTS = f"""{_burst("card_tx_1h", "CARD", "card_key", "1h", 3)} UNION ALL {_burst("card_tx_24h", "CARD", "card_key", "24h", 8)}
- UNION ALL {_burst("dev_tx_1h", "DEVICE", "device_key", "1h", 3)} UNION ALL {_burst("dev_tx_24h", "DEVICE", "device_key", "24h", 8)}"""
-
-
-@graph_query(
-    "ev_none",
-    f"""WITH {{TXN}}, {_EXPAND}, {_ROWS}, burst AS ({_BURSTS}), fired AS (
+_QUIET = """fired AS (
   SELECT transaction_id FROM rows_f WHERE abs(amt_z_card) >= 2 OR abs(amt_z_device) >= 2 OR hour_dev_card >= 0.35
     OR hour_dev_device >= 0.35 OR is_new_device_card_pair = 1 OR is_new_addr_card_pair = 1
-  UNION SELECT transaction_id FROM burst JOIN deg ON entity_type = t AND entity_key = k WHERE degree <= {{HUB}}
+  UNION SELECT transaction_id FROM burst_ev
   -- two other members with the seed's device are also a community of three
   UNION SELECT seed_id FROM members GROUP BY 1 HAVING count(*) >= 3
-  UNION SELECT seed_id FROM members JOIN txn ON member_id = transaction_id WHERE member_id <> seed_id AND risk_score >= 0.6)
-SELECT transaction_id, 'NO_RELATIONAL_EVIDENCE' AS evidence_type, 'info' AS severity, 'No qualifying relational evidence' AS title,
+  UNION SELECT seed_id FROM members JOIN txn ON member_id = transaction_id WHERE member_id <> seed_id AND risk_score >= 0.6),
+quiet_ev AS (SELECT transaction_id, 'NO_RELATIONAL_EVIDENCE' AS evidence_type, 'info' AS severity, 'No qualifying relational evidence' AS title,
   'None of the checked rules fired for this transaction' AS description,
-  '{{"checked_types":["NEW_PAIRING","AMOUNT_DEVIATION","UNUSUAL_HOUR","VELOCITY_BURST","SHARED_DEVICE_LINK","COMMUNITY_STATS",'
-   || '"CONNECTED_HIGH_RISK"],"window":"-14d/+2d"}}' AS details FROM txn WHERE transaction_id NOT IN (SELECT transaction_id FROM fired)""",
-)
+  '{"checked_types":["NEW_PAIRING","AMOUNT_DEVIATION","UNUSUAL_HOUR","VELOCITY_BURST","SHARED_DEVICE_LINK","COMMUNITY_STATS",'
+   || '"CONNECTED_HIGH_RISK"],"window":"-14d/+2d"}' AS details FROM txn WHERE transaction_id NOT IN (SELECT transaction_id FROM fired))"""
+
+
+@graph_query("ev_none", f"WITH {{TXN}}, {_EXPAND}, {_ROWS}, {_VELOCITY}, {_QUIET} SELECT {_COLUMNS} FROM quiet_ev")
 def ev_none(spark, folder, params):
     """What the other seven rules leave."""
     txn, links = _links(spark, folder)
@@ -430,9 +429,11 @@ def ev_none(spark, folder, params):
     return _only(E.ev_none(txn, made.filter(F.col("evidence_type") != E.NO_EVIDENCE), params))
 
 
-_FINAL = f"""{_AMOUNT}, seeded AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('{{"description":"' || description || '","details":' || details
+def _final(rows):
+    """Ids and hashes of the records of the CTE ``rows``."""
+    return f"""seeded AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('{{"description":"' || description || '","details":' || details
    || ',"evidence_type":"' || evidence_type || '","provenance":' || provenance || ',"severity":"' || severity
-   || '","title":"' || title || '","transaction_id":' || transaction_id || '}}')) AS d FROM amount_ev),
+   || '","title":"' || title || '","transaction_id":' || transaction_id || '}}')) AS d FROM {rows}),
 ided AS (SELECT *, substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3) || '-'
    || substr('89ab', ('0x' || substr(d, 17, 1))::INT % 4 + 1, 1) || substr(d, 18, 3) || '-' || substr(d, 21, 12) AS evidence_id FROM seeded),
 final AS (SELECT {_COLUMNS}, provenance, evidence_id, sha256('{{"description":"' || description || '","details":' || details
@@ -441,14 +442,14 @@ final AS (SELECT {_COLUMNS}, provenance, evidence_id, sha256('{{"description":"'
   FROM ided)"""
 
 
-@query("finalize_evidence", f"WITH {{TXN}}, {_ROWS}, {_FINAL} SELECT * FROM final")
+@query("finalize_evidence", f"WITH {{TXN}}, {_ROWS}, {_AMOUNT}, {_final('amount_ev')} SELECT * FROM final")
 def finalize_evidence(spark, folder):
     return E.finalize(E.ev_amount_deviation(_featured(spark, folder)))
 
 
 @query(
     "verify_evidence",
-    f"WITH {{TXN}}, {_ROWS}, {_FINAL} SELECT evidence_id, evidence_hash FROM final WHERE severity = 'high'",
+    f"WITH {{TXN}}, {_ROWS}, {_AMOUNT}, {_final('amount_ev')} SELECT evidence_id, evidence_hash FROM final WHERE severity = 'high'",
 )
 def verify_evidence(spark, folder):
     """Records of high severity are altered after hashing; exactly those are found."""
@@ -467,8 +468,26 @@ def evidence_counts(spark, folder):
     return E.evidence_counts(E.ev_amount_deviation(_featured(spark, folder)))
 
 
-@graph_query("generate_evidence")
+_OWN = "[transaction_id]"
+_ALL = f"""spread AS (SELECT seed_id, list_sort(list(member_id)) AS ids FROM members GROUP BY 1), every AS (
+  SELECT {_COLUMNS}, 'production_features' AS source, {_OWN} AS ids FROM amount_ev
+  UNION ALL SELECT {_COLUMNS}, 'production_features', {_OWN} FROM hour_ev
+  UNION ALL SELECT {_COLUMNS}, 'graph_links', {_OWN} FROM pair_ev
+  UNION ALL SELECT {_COLUMNS}, 'graph_links', {_OWN} FROM burst_ev
+  UNION ALL SELECT {_COLUMNS}, 'graph_links', list_sort(list_append(ids, transaction_id)) FROM shared_ev
+  UNION ALL SELECT {_COLUMNS}, 'graph_links', ids FROM community_ev JOIN spread ON seed_id = transaction_id
+  UNION ALL SELECT {_COLUMNS}, 'risk_predictions', list_sort([member_id, transaction_id]) FROM connected_ev
+  UNION ALL SELECT {_COLUMNS}, 'graph_links', {_OWN} FROM quiet_ev),
+proven AS (SELECT {_COLUMNS}, '{{"code_version":"v1","source_row_ids":[' || array_to_string(ids, ',') || '],"source_table":"'
+   || source || '"}}' AS provenance FROM every)"""
+
+
+@graph_query(
+    "generate_evidence",
+    f"""WITH {{TXN}}, {_EXPAND}, {_ROWS}, {_AMOUNT}, {_HOUR}, {_PAIRING}, {_VELOCITY}, {_SHARED}, {_COMMUNITY}, {_CONNECTED},
+{_QUIET}, {_ALL}, {_final("proven")} SELECT * FROM final""",
+)
 def generate_evidence(spark, folder, params):
     """All eight rules for all transactions; ids and hashes included."""
     txn, links = _links(spark, folder)
-    return E.generate_evidence(_featured(spark, folder), links, txn, params)
+    return E.generate_evidence(_featured(spark, folder), links, _shifted(txn), params)
