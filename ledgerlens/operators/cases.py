@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.running import prior_totals
+from ledgerlens.operators.running import id_levels, prior_totals
 from ledgerlens.operators.spread import spread_join
 
 # Statuses and the statuses each may move to.
@@ -57,13 +57,11 @@ def validate_transitions(history: DataFrame) -> DataFrame:
     not meet in one task. Unknown statuses stay as they are stored and are never legal, nor
     is a step after one. The first step of a case must be NEW.
     """
+    high, middle = id_levels(F.col("seq"))
     numbered = history.select(
-        "case_id",
-        F.floor(F.col("seq") / BLOCK).cast("long").alias("block"),
-        "seq",
-        F.col("seq").cast("long").alias("at"),
+        "case_id", high.alias("high"), middle.alias("middle"), "seq", F.col("seq").cast("long").alias("at")
     )
-    places = prior_totals(numbered, ["case_id"], ["block", "seq"], maxes=("at",)).select(
+    places = prior_totals(numbered, ["case_id"], ["high", "middle", "seq"], maxes=("at",)).select(
         "case_id", "seq", F.col("prior_at").cast("long").alias("before")
     )
     earlier = history.select("case_id", F.col("seq").cast("long").alias("before"), F.col("status").alias("previous"))
@@ -242,8 +240,8 @@ def case_queue(
 ) -> DataFrame:
     """Cases with risk, evidence count and latest decision.
 
-    ``cases``: case_id, transaction_id, status, opened_at, evidence_ids. Newest first when
-    shown: order by opened_at descending, case_id.
+    ``cases``: case_id, transaction_id, status, opened_at, evidence_ids. In order of
+    opened_at, newest first, then case_id.
     """
     if status is not None and status not in STATUSES:
         raise ValueError(f"unknown status {status!r}")
@@ -267,6 +265,7 @@ def case_queue(
             "latest_decision",
             "decided_at",
         )
+        .orderBy(F.desc("opened_at"), "case_id")
     )
 
 
@@ -284,9 +283,11 @@ def case_detail(sections: dict[str, DataFrame]) -> DataFrame:
         ],
     )
     # Items of one sequence number follow each other by their id.
-    block = F.floor(F.col("seq") / BLOCK).cast("long").alias("block")
-    marks = rows.groupBy("case_id", "section", block, "seq", "item_id").agg(F.count("*").alias("n"))
-    places = prior_totals(marks, ["case_id", "section"], ["block", "seq", "item_id"], sums=("n",))
+    high, middle = id_levels(F.col("seq"))
+    marks = rows.groupBy("case_id", "section", high.alias("high"), middle.alias("middle"), "seq", "item_id").agg(
+        F.count("*").alias("n")
+    )
+    places = prior_totals(marks, ["case_id", "section"], ["high", "middle", "seq", "item_id"], sums=("n",))
     return rows.join(
         places.select("case_id", "section", "seq", "item_id", (F.col("prior_n") + 1).cast("long").alias("position")),
         ["case_id", "section", "seq", "item_id"],

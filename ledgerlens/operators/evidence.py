@@ -24,6 +24,7 @@ from ledgerlens.operators.graph import (
     without_hubs,
 )
 from ledgerlens.operators.history import RELATIONAL_FEATURES
+from ledgerlens.operators.review import latest_scores
 from ledgerlens.operators.spread import spread_join
 from ledgerlens.session import cut_lineage
 
@@ -406,8 +407,13 @@ def generate_evidence(
     """All evidence of all transactions in ``rows`` (keys, amount, ts, relational features).
 
     Features and neighbourhoods feed several rules, so both are computed once and
-    written to the checkpoint folder.
+    written to the checkpoint folder. Scores of several versions need ``scored_at``: the
+    latest of each transaction counts.
     """
+    if {"model_version", "scored_at"} <= set(scores.columns):
+        scores = latest_scores(scores)
+    elif "model_version" in scores.columns:
+        raise ValueError("scores of several versions need scored_at; else select one version and drop model_version")
     rows = cut_lineage(rows.select("transaction_id", "ts", "amount", *KEYS, *RELATIONAL_FEATURES))
     seeds = rows.select("transaction_id", "ts")
     members = cut_lineage(expand(links, seeds, params))

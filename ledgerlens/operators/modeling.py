@@ -15,6 +15,7 @@ from ledgerlens.functions.scalars import flag_tf, log_amount, risk_band
 from ledgerlens.operators.profile import exact_quantiles
 from ledgerlens.operators.running import prior_totals, time_slot
 from ledgerlens.operators.spread import spread_join
+from ledgerlens.sources.tables import replace_version
 
 # The frozen relational inputs of the model, and split fractions.
 MODEL_RELATIONAL = (
@@ -192,6 +193,21 @@ def score_rows(model: PipelineModel, matrix: DataFrame, version: str, row_id: st
     ).withColumn("risk_band", risk_band(F.col("risk_score")))
 
 
+def batch_score(model: PipelineModel, matrix: DataFrame, version: str, path: str) -> DataFrame:
+    """Score every row, replace what is stored of this version at ``path``, and read it back."""
+    replace_version(score_rows(model, matrix, version), path)
+    stored = matrix.sparkSession.read.parquet(path)
+    return stored.filter(F.col("model_version") == version)
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def score_missing(model: PipelineModel, matrix: DataFrame, stored: DataFrame, version: str) -> DataFrame:
     """Score only the rows that have no stored score of this version."""
     have = stored.filter(F.col("model_version") == version).select("transaction_id")
@@ -214,9 +230,10 @@ def score_drift(first: DataFrame, second: DataFrame) -> DataFrame:
     )
 
 
-def importances(model: PipelineModel) -> list[float]:
+def importances(model: PipelineModel) -> dict[str, float]:
+    """Share of each input in the trees' gains; the weights for ``top_contributions``."""
     trees: GBTClassificationModel = model.stages[-1]
-    return [float(v) for v in trees.featureImportances.toArray()]
+    return dict(zip(model.stages[0].getInputCols(), (float(v) for v in trees.featureImportances.toArray())))
 
 
 def top_contributions(

@@ -22,6 +22,14 @@ def time_slot(ts: Column, seconds: int = SLOT_S) -> Column:
     return F.floor(ts / seconds).cast("long")
 
 
+def id_levels(number: Column) -> list[Column]:
+    """Coarse to fine ranges of a whole number by its bits.
+
+    Below each other they hold at most 2^22, 2^21 and 2^21 steps, however the numbers lie.
+    """
+    return [F.shiftright(number.cast("long"), bits) for bits in (42, 21)]
+
+
 def steps_of(
     df: DataFrame, keys: Sequence[str], levels: Sequence[str], measures: Mapping[str, Column]
 ) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.canonical import canonical_json, content_hash
@@ -15,7 +17,7 @@ from ledgerlens.operators import review as R
 from ledgerlens.plans.features import model_matrix
 from ledgerlens.plans.registry import query, r6
 from ledgerlens.plans.tables import EVENTS_ANCHOR_S, table, transactions
-from ledgerlens.session import cut_lineage
+from ledgerlens.session import cut_lineage, shared_dir
 from ledgerlens.sources import tables as T
 
 _BAND = """CASE WHEN risk_score >= 0.85 THEN 'CRITICAL' WHEN risk_score >= 0.6 THEN 'HIGH'
@@ -307,10 +309,32 @@ def full_metrics(spark, folder):
     return _confusion_shown(X.full_metrics(scored, "is_fraud", "score", "transaction_id", ["grp"], thresholds))
 
 
-@query("paired_bootstrap")
+_WEIGHT = " + ".join(f"(u >= '{step!r}'::DOUBLE)::INT" for step in X.poisson_steps())
+
+
+@query(
+    "paired_bootstrap",
+    f"""WITH {{TXN}}, {_SCORED}, h AS (SELECT scored.*, k, sha256(transaction_id || ':' || k || ':42') AS hash
+  FROM scored, range(50) AS rounds(k)),
+u AS (SELECT grp, is_fraud, score, k * 4 + i AS replicate, ('0x' || substr(hash, (1 + 13 * i)::INT, 13))::BIGINT / 4503599627370496 AS u
+  FROM h, range(4) AS places(i)),
+w AS (SELECT *, {_WEIGHT} AS w FROM u),
+sides AS (SELECT grp, replicate, 'base' AS side, score, w, w * is_fraud AS wy FROM w WHERE w > 0
+  UNION ALL SELECT grp, replicate, 'other', (score + is_fraud * '0.2'::DOUBLE) / '1.2'::DOUBLE, w, w * is_fraud FROM w WHERE w > 0),
+c AS (SELECT grp, replicate, side, score, sum(w) AS n, sum(wy) AS pos FROM sides GROUP BY ALL),
+cum AS (SELECT *, sum(n) OVER o AS cn, sum(pos) OVER o AS cp, sum(pos) OVER (PARTITION BY grp, replicate, side) AS tp
+  FROM c WINDOW o AS (PARTITION BY grp, replicate, side ORDER BY score DESC)),
+ap AS (SELECT grp, replicate, side, sum(pos * (cp / cn)) / nullif(max(tp), 0) AS ap FROM cum GROUP BY ALL),
+gains AS (SELECT grp, replicate, max(ap) FILTER (side = 'other') - max(ap) FILTER (side = 'base') AS gain FROM ap GROUP BY ALL)
+SELECT grp, count(*) AS replicates, round(avg(gain) + 1e-9, 6) AS mean_gain, round(quantile_cont(gain, 0.025) + 1e-9, 6) AS low,
+  round(quantile_cont(gain, 0.975) + 1e-9, 6) AS high, round(avg((gain > 0)::INT) + 1e-9, 6) AS share_positive FROM gains GROUP BY 1""",
+)
 def paired_bootstrap(spark, folder):
     scored = _scored(spark, folder).withColumn("other", (F.col("score") + F.col("is_fraud") * 0.2) / 1.2)
-    return X.paired_bootstrap(scored, "is_fraud", "score", "other", "transaction_id", ["grp"])
+    out = X.paired_bootstrap(scored, "is_fraud", "score", "other", "transaction_id", ["grp"])
+    return out.select(
+        "grp", "replicates", *[r6(F.col(c)).alias(c) for c in ("mean_gain", "low", "high", "share_positive")]
+    )
 
 
 # -- model ----------------------------------------------------------------------------
@@ -338,7 +362,18 @@ def top_contributions(spark, folder):
     )
 
 
+# Trained models by session and folder, so that several queries share one training.
+_MODELS = {}
+
+
 def _trained(spark, folder, relational=True):
+    key = (spark.sparkContext.applicationId, folder, relational)
+    if key not in _MODELS:
+        _MODELS[key] = _train(spark, folder, relational)
+    return _MODELS[key]
+
+
+def _train(spark, folder, relational):
     matrix = model_matrix(spark, folder, relational)
     inputs = [c for c in matrix.columns if c not in ("transaction_id", "split", "is_fraud")]
     filled, names = M.fill_missing(matrix, inputs)
@@ -352,6 +387,62 @@ def train_and_score(spark, folder):
     return M.score_rows(model, filled, "gbt-1")
 
 
+def _work(spark, name):
+    """A new place in the folder that driver and executors share."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query(
+    "batch_score",
+    """WITH {TXN} SELECT transaction_id, 'gbt-1' AS model_version, true AS in_range, true AS band_follows FROM txn
+UNION ALL SELECT transaction_id, 'kept', true, true FROM txn WHERE is_fraud = 1""",
+)
+def batch_score(spark, folder):
+    """Stored scores after a batch run over a store that holds a stale run and another version."""
+    model, filled, _ = _trained(spark, folder, relational=False)
+    place = _work(spark, "scores")
+    stale = filled.select(
+        "transaction_id", F.lit("gbt-1").alias("model_version"), F.lit(2.0).alias("risk_score"), F.lit("LOW").alias("risk_band")
+    )
+    other = filled.filter("is_fraud = 1").select(
+        "transaction_id", F.lit("kept").alias("model_version"), F.lit(0.7).alias("risk_score"), F.lit("HIGH").alias("risk_band")
+    )
+    T.replace_version(stale.unionByName(other), place)
+    M.batch_score(model, filled, "gbt-1", place)
+    return spark.read.parquet(place).select(
+        "transaction_id",
+        "model_version",
+        F.col("risk_score").between(0, 1).alias("in_range"),
+        (F.col("risk_band") == risk_band(F.col("risk_score"))).alias("band_follows"),
+    )
+
+
+@query(
+    "reload_drift",
+    "SELECT count(*) AS rows, 0::DOUBLE AS max_abs_diff, 0::DOUBLE AS mean_abs_diff FROM events",
+)
+def reload_drift(spark, folder):
+    """Scores of a model before and after it is saved and loaded."""
+    model, filled, _ = _trained(spark, folder, relational=False)
+    place = _work(spark, "model")
+    M.save_model(model, place)
+    return M.score_drift(M.score_rows(model, filled, "kept"), M.score_rows(M.load_model(place), filled, "loaded"))
+
+
+@query(
+    "trained_contributions",
+    "WITH {TXN} SELECT transaction_id, 5 AS listed, true AS falling FROM txn",
+)
+def trained_contributions(spark, folder):
+    """Per transaction, how many inputs the trained model's weights list, and whether they fall."""
+    model, filled, _ = _trained(spark, folder, relational=False)
+    top = M.top_contributions(filled, M.importances(model))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("abs_rank", "contribution"))), lambda e: e["contribution"])
+    return top.groupBy("transaction_id").agg(
+        F.count("*").cast("int").alias("listed"), (F.sort_array(listed, asc=False) == listed).alias("falling")
+    )
+
+
 @query("score_missing")
 def score_missing(spark, folder):
     model, filled, _ = _trained(spark, folder, relational=False)
@@ -384,6 +475,23 @@ def shuffled_control(spark, folder):
     return X.ranking_metrics(both, "is_fraud", "risk_score", ["model_version"])
 
 
+@query(
+    "shuffled_features",
+    """SELECT event_type, count(*) AS rows, count(DISTINCT event_id) AS donors, sum(event_id)::BIGINT AS id_sum, true AS some_moved
+FROM events GROUP BY 1""",
+)
+def shuffled_features(spark, folder):
+    """Each row of a group gets the features of exactly one row of the same group."""
+    rows = table(spark, folder, "events").select("event_id", "event_type", F.col("event_id").alias("own"), F.col("event_type").alias("kind"))
+    out = M.shuffle_features(rows, ["own", "kind"], ["event_type"], "event_id")
+    return out.filter("kind = event_type").groupBy("event_type").agg(
+        F.count("*").alias("rows"),
+        F.count_distinct("own").alias("donors"),
+        F.sum("own").alias("id_sum"),
+        F.bool_or(F.col("own") != F.col("event_id")).alias("some_moved"),
+    )
+
+
 # -- entity risk ------------------------------------------------------------------------
 
 
@@ -717,6 +825,42 @@ def append_if_absent(spark, folder):
     return T.append_if_absent(stored, incoming, "k")
 
 
-@query("table_fingerprint")
+@query(
+    "replace_version",
+    """SELECT c_custkey AS id, c_acctbal AS value, 'v1' AS model_version FROM customer
+UNION ALL SELECT o_orderkey, o_totalprice, 'v2' FROM orders""",
+)
+def replace_version(spark, folder):
+    """A second write of one version replaces its rows alone."""
+    customer, orders = table(spark, folder, "customer"), table(spark, folder, "orders")
+    first = customer.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"))
+    second = orders.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value"))
+    place = _work(spark, "versions")
+    both = first.withColumn("model_version", F.lit("v1")).unionByName(first.withColumn("model_version", F.lit("v2")))
+    T.replace_version(both, place)
+    T.replace_version(second.withColumn("model_version", F.lit("v2")), place)
+    return spark.read.parquet(place)
+
+
+@query("read_typed_csv", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+def read_typed_csv(spark, folder):
+    """Orders written as CSV, read with their types and stored as parquet."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    place = _work(spark, "csv")
+    orders.write.csv(place, header=True)
+    return T.csv_to_parquet(spark, place, orders.schema, _work(spark, "typed"))
+
+
+@query(
+    "table_fingerprint",
+    """WITH c AS (SELECT o_custkey::VARCHAR AS a, o_orderkey::VARCHAR AS b, o_orderpriority AS c, o_orderstatus AS d,
+  o_totalprice::DECIMAL(18,2)::VARCHAR AS e FROM orders),
+t AS (SELECT coalesce(length(a) || ':' || a, '-') || coalesce(length(b) || ':' || b, '-') || coalesce(length(c) || ':' || c, '-')
+  || coalesce(length(d) || ':' || d, '-') || coalesce(length(e) || ':' || e, '-') AS row_text FROM c)
+SELECT count(*) AS rows, coalesce(sum(('0x' || substr(md5(row_text), 1, 15))::BIGINT), 0)::VARCHAR AS content FROM t""",
+)
 def table_fingerprint(spark, folder):
-    return T.table_fingerprint(table(spark, folder, "orders"))
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice")
+    )
+    return T.table_fingerprint(orders)

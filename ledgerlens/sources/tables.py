@@ -63,6 +63,14 @@ def replace_version(scores: DataFrame, path: str, column: str = "model_version")
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Rows and a hash of the content that does not depend on the order of rows."""
-    digest = F.xxhash64(F.struct(*[F.col(c) for c in sorted(df.columns)])).cast("decimal(38,0)")
+    """Rows and a hash of the content that does not depend on the order of rows.
+
+    A row is the text of its columns by name, each as length:text or - if missing. The first
+    15 hex digits of its MD5 are summed up, so any engine can repeat it.
+    """
+    cells = []
+    for c in sorted(df.columns):
+        text = F.col(c).cast("string")
+        cells.append(F.coalesce(F.concat(F.char_length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    digest = F.conv(F.substring(F.md5(F.concat(*cells)), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(digest), F.lit(0)).cast("string").alias("content"))

@@ -234,3 +234,27 @@ def test_evidence_tampering_is_found(spark):
     done = E.finalize(E.ev_amount_deviation(rows))
     assert E.verify_evidence(done).count() == 0
     assert E.verify_evidence(done.withColumn("details", F.lit("{}"))).count() == 1
+
+
+def test_bootstrap_draws_depend_on_id_and_replicate_alone(spark):
+    rows = spark.createDataFrame([(i, int(i % 3 == 0), i % 7 / 7, i % 5 / 5, "g") for i in range(60)], "id int, y int, a double, b double, g string")
+    run = lambda df: X.paired_bootstrap(df, "y", "a", "b", "id", ["g"], replicates=6).first()
+    first, again = run(rows), run(rows.orderBy(F.desc("id")).repartition(3))
+    assert first["replicates"] == 6
+    assert first["mean_gain"] == pytest.approx(again["mean_gain"])
+
+
+def test_top_fraction_ties_with_sparse_ids(spark):
+    """Tied rows are taken by id, however far apart the ids lie."""
+    ids = [-(1 << 62), -5, 3, 1 << 21, 1 << 42, (1 << 62) + 7]
+    rows = spark.createDataFrame([(i, int(i in ids[:2]), 0.5, "g") for i in ids], "id long, y int, s double, g string")
+    got = X.top_fraction_metrics(rows, "y", "s", "id", ["g"], fractions=(0.34, 0.67)).orderBy("fraction").collect()
+    assert [(r["k"], r["precision_at"], r["recall_at"]) for r in got] == [(2, 1.0, 1.0), (4, 0.5, 1.0)]
+
+
+def test_scores_of_several_versions_need_their_time(spark):
+    from ledgerlens.operators import evidence as E
+
+    scores = spark.createDataFrame([(1, 0.9, "v1")], "transaction_id long, risk_score double, model_version string")
+    with pytest.raises(ValueError):
+        E.generate_evidence(None, None, scores)
