@@ -151,6 +151,33 @@ def test_repeated_windows_on_edges(spark, docs, empty):
     assert repeated_windows.remove_repeats(empty).count() == 0
 
 
+def test_repeated_windows_of_long_and_nameless_texts(spark):
+    rng = random.Random(6)
+    long = rng.randbytes(5 << 18).hex()
+    step = (1 << repeated_windows.PIECE_BITS) - repeated_windows.WINDOW
+    rows = [(1, long), (2, long[step - 300 : step + 300])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r[0]: (r[1], r[2], r[3], bytes(r[4])) for r in repeated_windows.remove_repeats(df).collect()}
+    assert got == {1: (len(long), 0, 0, long.encode()), 2: (600, 600, 1, b"")}
+
+    a, b, shared = (rng.randbytes(150).hex() for _ in range(3))
+    texts = [a + shared, a[:120] + shared + b, shared, a + shared, shared + b[:150]]
+    possible = []
+    for order in itertools.permutations(texts):
+        seen, out = set(), []
+        for t in order:
+            gone = np.zeros(len(t), bool)
+            for s in range(len(t) - 99):
+                gone[s : s + 100] |= t[s : s + 100] in seen
+                seen.add(t[s : s + 100])
+            out.append((len(t), int(gone.sum()), "".join(c for c, g in zip(t, gone) if not g)))
+        possible.append(sorted(out))
+    for ids in ([None] * 5, [None, None, 7, None, 7]):
+        df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
+        got = repeated_windows.remove_repeats(df).collect()
+        assert sorted((r[1], r[2], bytes(r[4]).decode()) for r in got) in possible
+
+
 def test_token_counts_match_the_library(spark, docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
