@@ -3,16 +3,19 @@
 1. One pass over the texts finds the words of the licence vocabulary with their positions,
    and the places of whole phrases.
 2. The document frequency of each licence word, counted over all documents, gives its IDF.
-3. Each document looks up its ``TOP`` highest-IDF licence words. Their postings (template,
-   offset) are intersected by relative position: an occurrence at word p of a word at
-   offset o votes for the template starting at p - o. A template's share is the IDF weight
-   of its words that agree on one start (within ``SLACK`` words), over all its weight.
+3. Each template is looked up by its highest-IDF words, as few as hold more than
+   1 - ``SHARE`` of its weight: what lacks them all cannot reach the share. An occurrence at
+   word p of a word at offset o stands for the template starting at p - o. At the starts so
+   found (within ``SLACK`` words) the postings of all indexed words are intersected by
+   relative position. A template's share is the IDF weight of its words that agree on one
+   start (within ``SLACK`` words), over all its weight.
 4. A template with a share of ``SHARE`` is reported if one of its mandatory phrases stands
    where the agreed start puts the template.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from math import log
@@ -25,7 +28,6 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.bytewords import ALNUM, blocks, text_buffers, word_hash, words
 from ledgerlens.llm.scratch import Scratch
 
-TOP = 24
 SLACK = 3
 SHARE = 0.5
 
@@ -193,8 +195,10 @@ def word_idf(scanned: DataFrame) -> dict[str, float]:
     return {w: log((total + 1) / (seen.get(i, 0) + 1)) + 0.01 for i, w in enumerate(_VOCABULARY) if _INDEXED[i]}
 
 
-def template_index(idf: dict[str, float]) -> tuple[dict[int, list[tuple[str, int]]], dict[str, float]]:
-    """(postings by word, whole weight by template) over the indexed words."""
+def template_index(
+    idf: dict[str, float],
+) -> tuple[dict[int, list[tuple[str, int]]], dict[str, float], dict[str, set[int]]]:
+    """(postings by word, whole weight by template, offsets of its rarest words) over the indexed words."""
     postings: dict[int, list[tuple[str, int]]] = defaultdict(list)
     weight: dict[str, float] = defaultdict(float)
     for name, (text, _) in TEMPLATES.items():
@@ -202,40 +206,57 @@ def template_index(idf: dict[str, float]) -> tuple[dict[int, list[tuple[str, int
             if word in idf:
                 postings[_WORD_NO[word]].append((name, offset))
                 weight[name] += idf[word]
-    return dict(postings), dict(weight)
+    rare: dict[str, set[int]] = {}
+    for name, (text, _) in TEMPLATES.items():
+        listed = sorted((-idf[w], o) for o, w in enumerate(text.split()) if w in idf)
+        rare[name], left = set(), weight[name]
+        for value, offset in listed:
+            # A little less than SHARE, so that rounding loses no start.
+            if left < (SHARE - 1e-9) * weight[name]:
+                break
+            rare[name].add(offset)
+            left += value
+    return dict(postings), dict(weight), rare
 
 
 def match(
     places: np.ndarray, found: np.ndarray, phrase_places: list[int], phrases: list[int], idf: dict[str, float], index
 ) -> list[tuple[str, int, float]]:
     """(template, start, share) of the verified templates of one document."""
-    postings, weight = index
+    postings, weight, rare = index
     weight_of = {_WORD_NO[w]: v for w, v in idf.items()}
-    rare = set(sorted(set(found.tolist()), key=lambda w: (-weight_of[w], w))[:TOP])
-    votes: dict[str, dict[int, dict[int, float]]] = defaultdict(lambda: defaultdict(dict))
-    for place, word in zip(places.tolist(), found.tolist()):
-        if word in rare:
-            for name, offset in postings.get(word, ()):
-                votes[name][place - offset][offset] = weight_of[word]
     stands = defaultdict(list)
     for place, number in zip(phrase_places, phrases):
         stands[number].append(place)
+    # Without one of its phrases a template is never reported.
+    phrased = {
+        name: sorted({place for p in must for place in stands.get(_PHRASE_NO[p], ())}) for name, (_, must) in TEMPLATES.items()
+    }
+    votes: dict[str, dict[int, dict[int, float]]] = defaultdict(lambda: defaultdict(dict))
+    for place, word in zip(places.tolist(), found.tolist()):
+        for name, offset in postings.get(word, ()):
+            if phrased[name]:
+                votes[name][place - offset][offset] = weight_of[word]
     result = []
     for name, starts in votes.items():
-        text, must = TEMPLATES[name]
-        size = len(text.split())
+        size = len(TEMPLATES[name][0].split())
         best = (0.0, 0)
-        for start in starts:
+        near_rare = {
+            near
+            for start, own in starts.items()
+            if not rare[name].isdisjoint(own)
+            for near in range(start - SLACK, start + SLACK + 1)
+        }
+        for start in sorted(near_rare & starts.keys()):
+            at = bisect_left(phrased[name], start - SLACK)
+            if at == len(phrased[name]) or phrased[name][at] > start + size + SLACK:
+                continue
             together: dict[int, float] = {}
             for near in range(start - SLACK, start + SLACK + 1):
                 together.update(starts.get(near, {}))
             share = min(1.0, sum(together.values()) / weight[name])
-            if share >= SHARE and share > best[0] - 1e-12:
-                inside = any(
-                    start - SLACK <= place <= start + size + SLACK for p in must for place in stands[_PHRASE_NO[p]]
-                )
-                if inside and (share > best[0] + 1e-12 or start < best[1]):
-                    best = (share, start)
+            if share >= SHARE and (share > best[0] + 1e-12 or (share > best[0] - 1e-12 and start < best[1])):
+                best = (share, start)
         if best[0] > 0:
             result.append((name, best[1], best[0]))
     return sorted(result)

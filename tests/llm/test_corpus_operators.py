@@ -256,6 +256,51 @@ def test_license_scan(spark, docs, empty):
     assert licenses.license_scan(empty).count() == 0
 
 
+def test_license_scan_of_files_with_many_licences(spark):
+    rng = random.Random(8)
+    texts = {name: text for name, (text, _) in licenses.TEMPLATES.items()}
+    whole = [" filler ".join(t for n, t in sorted(texts.items(), key=lambda _: rng.random())) for _ in range(3)]
+    notice = " and ".join(texts[n] for n in ("mit-text", "bsd", "isc", "zlib", "apache-2-text"))
+    plain = [f"nothing of interest {i}" for i in range(40)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*whole, notice, *texts.values(), *plain])], "doc_id long, text string")
+    got = {r["doc_id"]: set(r["labels"]) for r in licenses.license_scan(rows).collect()}
+    assert all(got[i] >= set(texts) for i in range(3))
+    assert got[3] >= {"mit-text", "bsd", "isc", "zlib", "apache-2-text"}
+    assert all(name in got[4 + i] for i, name in enumerate(texts))
+
+
+def test_license_candidates_are_those_of_all_words():
+    rng = random.Random(9)
+    idf = {w: rng.choice([0.01, 1.0, 2.0, 5.0]) for w in licenses._VOCABULARY if w not in licenses.COMMON}
+    index = licenses.template_index(idf)
+    pool = [w for text, _ in licenses.TEMPLATES.values() for w in text.split()]
+    for _ in range(150):
+        w = []
+        for text, _ in rng.choices(list(licenses.TEMPLATES.values()), k=rng.randint(1, 8)):
+            w += [rng.choice(pool) if rng.random() < 0.15 else x for x in text.split() if rng.random() > 0.05]
+        hits = [(p, licenses._WORD_NO[x]) for p, x in enumerate(w) if x in idf]
+        seen = sorted(
+            (p, n) for n, phrase in enumerate(licenses._PHRASES) for p in range(len(w)) if w[p : p + len(phrase.split())] == phrase.split()
+        )
+        want = []
+        for name, (text, must) in licenses.TEMPLATES.items():
+            t = text.split()
+            total = sum(idf.get(x, 0) for x in t)
+            best = None
+            for start in range(-len(t), len(w)):
+                if not any(0 <= start + o < len(w) and w[start + o] == x for o, x in enumerate(t) if x in idf):
+                    continue
+                agree = [x for o, x in enumerate(t) if x in idf and x in w[max(0, start + o - 3) : max(0, start + o + 4)]]
+                share = min(1.0, sum(idf[x] for x in agree) / total)
+                inside = any(licenses._PHRASES[n] in must and start - 3 <= p <= start + len(t) + 3 for p, n in seen)
+                if share >= 0.5 and inside and (best is None or share > best + 1e-12):
+                    best = share
+            if best is not None:
+                want.append((name, round(best, 9)))
+        got = licenses.match(np.array([p for p, _ in hits]), np.array([x for _, x in hits]), [p for p, _ in seen], [n for _, n in seen], idf, index)
+        assert [(n, round(s, 9)) for n, _, s in got] == sorted(want)
+
+
 def test_edited_fingerprints(docs, empty):
     rows = fingerprints.edited_fingerprints(docs).collect()
     order = sorted(((-(i if i is not None else -1), t or "") for i, t in DOCS))
