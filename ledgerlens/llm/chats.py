@@ -6,10 +6,11 @@ cheapest of: keep it, relabel it, merge it into the turn before, each with or wi
 empty turn inserted before it. The repaired turns are rendered piece by piece; the pieces
 of a conversation, joined in order, are its text for training.
 
-A conversation is cut into chunks of ``CHUNK`` turn numbers, so none has to fit into a
-task: the first pass gives each chunk's cost from any state to any state, the second
-composes these along the conversation and fixes the states between chunks, the third
-repairs every chunk between its two states. Most conversations are one chunk.
+A conversation is cut into chunks of ``CHUNK`` turns by rank, so none has to fit into a
+task, whatever its turn numbers are: the first pass gives each chunk's cost from any state
+to any state, the second composes these along the conversation, ``CHUNK`` of them at a time
+and level by level, and fixes the states between chunks, the third repairs every chunk
+between its two states. Most conversations are one chunk.
 """
 
 from __future__ import annotations
@@ -18,10 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.scratch import Scratch
+
 CHUNK = 512
+# Characters of a text that order turns of equal number and role; then a hash of the text does.
+PREFIX = 64
 
 # States: the role of the last turn so far; START before any.
 STATES = ("start", "system", "user", "assistant")
@@ -122,42 +129,101 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[
         yield now, pd.concat(held)
 
 
-def repair_chats(conversations: DataFrame) -> DataFrame:
-    """One row per turn: conv_id, chunk, place, turn, action, role, inserted, piece.
+def ranked(turns: DataFrame, scratch: Scratch) -> DataFrame:
+    """``turns`` (conv_id, turn, role, text) plus ``rank``, the position in the conversation from 0.
 
-    Turns follow each other by turn number, then by role and text, turns without a number
-    last; (chunk, place) is that order. Rows without conv_id form one conversation. Null
-    texts are empty, null and unknown roles get a role, repeated rows stay repeated turns.
-    Other columns are ignored.
+    All rows are sorted by ranges, so a conversation, a turn number or a text that holds a
+    large share of them spreads over many tasks. A range counts along its own rows; only
+    its first conversation can have begun before, so one row per range goes to the driver.
     """
-    none = F.lit(-(1 << 63))
-    turns = conversations.select(
-        F.coalesce(F.col("conv_id").cast("long"), none).alias("conv_id"),
-        F.coalesce(F.floor(F.col("turn").cast("long") / CHUNK), F.lit(1 << 62)).alias("chunk"),
-        F.col("turn").cast("long").alias("turn"),
-        F.col("role").cast("string").alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    place = [
+        F.col("conv_id"),
+        F.col("turn").asc_nulls_last(),
+        F.col("role"),
+        F.col("_prefix"),
+        F.col("_hash"),
+        F.col("_number"),
+    ]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, now, seen = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            conv = batch.column(0).to_numpy()
+            new = np.append(True, conv[1:] != conv[:-1])
+            first = np.flatnonzero(new)
+            local = np.arange(len(conv)) - first[np.cumsum(new) - 1]
+            if conv[0] == now:
+                local[: first[1] if len(first) > 1 else len(conv)] += seen
+            now, seen = conv[-1], local[-1] + 1
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(len(conv), part, np.int32)), pa.array(local)],
+                names=["conv_id", "turn", "role", "text", "part", "local"],
+            )
+
+    rows = scratch.keep(
+        turns.withColumns(
+            {"_prefix": F.substring("text", 1, PREFIX), "_hash": F.xxhash64("text"), "_number": F.monotonically_increasing_id()}
+        )
+        .repartitionByRange(*place)
+        .sortWithinPartitions(*place)
+        .select("conv_id", "turn", "role", "text")
+        .mapInArrow(count, "conv_id bigint, turn bigint, role string, text string, part int, local bigint"),
+        "ranked",
+    )
+    ends = rows.groupBy("part").agg(F.min("conv_id").alias("first"), F.max(F.struct("conv_id", "local")).alias("last")).collect()
+    before, open_conv, total = [], None, 0
+    for r in sorted(ends, key=lambda r: r["part"]):
+        base = total if r["first"] == open_conv else 0
+        if base:
+            before.append((r["part"], r["first"], base))
+        open_conv = r["last"]["conv_id"]
+        total = r["last"]["local"] + 1 + (base if open_conv == r["first"] else 0)
+    bases = turns.sparkSession.createDataFrame(before, "part int, conv_id bigint, base bigint")
+    return rows.join(F.broadcast(bases), ["part", "conv_id"], "left").select(
+        "conv_id", "turn", "role", "text", (F.col("local") + F.coalesce("base", F.lit(0))).alias("rank")
     )
-    order = ["conv_id", "chunk", "turn", "role", "text"]
 
-    def chunk_costs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (conv, chunk), rows in _groups(batches, ["conv_id", "chunk"]):
-            yield pd.DataFrame({"conv_id": [conv], "chunk": [chunk], "costs": [costs([_role(r) for r in rows["role"]]).ravel()]})
 
-    def between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (conv,), rows in _groups(batches, ["conv_id"]):
-            tables = [np.array(c).reshape(4, 4) for c in rows["costs"]]
-            best, back = np.array([0.0, np.inf, np.inf, np.inf]), []
-            for t in tables:
-                total = best[:, None] + t
-                back.append(total.argmin(axis=0))
-                best = total.min(axis=0)
-            state = int(best.argmin())
-            states = [state]
-            for b in reversed(back):
-                state = int(b[state])
-                states.append(state)
-            states = states[::-1]
+def _along(tables: list[np.ndarray], entry: int, leave: int | None) -> list[int]:
+    """The states before, between and after chunks with these costs, on a cheapest path."""
+    best, back = np.full(4, np.inf), []
+    best[entry] = 0.0
+    for t in tables:
+        total = best[:, None] + t
+        back.append(total.argmin(axis=0))
+        best = total.min(axis=0)
+    states = [int(best.argmin()) if leave is None else leave]
+    for b in reversed(back):
+        states.append(int(b[states[-1]]))
+    return states[::-1]
+
+
+def between_chunks(chunks: DataFrame, scratch: Scratch) -> DataFrame:
+    """(conv_id, chunk, entry, leave): the states around each of ``chunks`` (conv_id, chunk, costs).
+
+    ``CHUNK`` chunks at a time are composed to one of the next level, until each
+    conversation is one group; then the states are fixed from the top level down.
+    """
+    keys = ["conv_id", "above"]
+
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (conv, above), rows in _groups(batches, keys):
+            table = np.full((4, 4), np.inf)
+            np.fill_diagonal(table, 0.0)
+            for c in rows["costs"]:
+                table = (table[:, :, None] + np.array(c).reshape(1, 4, 4)).min(axis=1)
+            yield pd.DataFrame({"conv_id": [conv], "chunk": [above], "costs": [table.ravel()]})
+
+    def fix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (conv, _), rows in _groups(batches, keys):
+            leave = rows["leave"].iloc[0]
+            states = _along(
+                [np.array(c).reshape(4, 4) for c in rows["costs"]],
+                STATES.index(rows["entry"].iloc[0]),
+                STATES.index(leave) if leave else None,
+            )
             yield pd.DataFrame(
                 {
                     "conv_id": conv,
@@ -167,19 +233,62 @@ def repair_chats(conversations: DataFrame) -> DataFrame:
                 }
             )
 
-    parts = turns.select("conv_id", "chunk").distinct()
-    long = parts.groupBy("conv_id").agg(F.count("*").alias("n")).filter("n > 1").select("conv_id")
-    fixed = (
-        turns.select("conv_id", "chunk", "turn", "role", "text")
-        .join(long, "conv_id", "left_semi")
+    def grouped(level: DataFrame) -> DataFrame:
+        return level.withColumn("above", F.floor(F.col("chunk") / CHUNK))
+
+    def dealt(level: DataFrame) -> DataFrame:
+        return level.repartition(*keys).sortWithinPartitions(*keys, "chunk")
+
+    levels = [grouped(chunks)]
+    while (levels[-1].agg(F.max("above")).first()[0] or 0) > 0:
+        up = dealt(levels[-1]).select(*keys, "costs").mapInPandas(compose, "conv_id bigint, chunk bigint, costs array<double>")
+        levels.append(grouped(scratch.keep(up, f"level-{len(levels)}")))
+    top = levels[-1].withColumns({"entry": F.lit("start"), "leave": F.lit(None).cast("string")})
+    for level in [*reversed(levels[:-1]), None]:
+        fixed = dealt(top).mapInPandas(fix, "conv_id bigint, chunk bigint, entry string, leave string")
+        if level is not None:
+            top = level.join(fixed.withColumnRenamed("chunk", "above"), keys)
+    return fixed
+
+
+def repair_chats(conversations: DataFrame) -> DataFrame:
+    """One row per turn: conv_id, chunk, place, turn, action, role, inserted, piece.
+
+    Turns follow each other by turn number, then by role and text (its first ``PREFIX``
+    characters, then a hash of it), turns without a number last; (chunk, place) is that
+    order. Rows without conv_id form one conversation. Null texts are empty, null and
+    unknown roles get a role, repeated rows stay repeated turns. Other columns are ignored.
+    """
+    scratch = Scratch(conversations.sparkSession, "chats")
+    none = F.lit(-(1 << 63))
+    turns = ranked(
+        conversations.select(
+            F.coalesce(F.col("conv_id").cast("long"), none).alias("conv_id"),
+            F.col("turn").cast("long").alias("turn"),
+            F.col("role").cast("string").alias("role"),
+            F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        ),
+        scratch,
+    ).withColumn("chunk", F.floor(F.col("rank") / CHUNK))
+    order = ["conv_id", "chunk", "rank"]
+
+    def chunk_costs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (conv, chunk), rows in _groups(batches, ["conv_id", "chunk"]):
+            yield pd.DataFrame({"conv_id": [conv], "chunk": [chunk], "costs": [costs([_role(r) for r in rows["role"]]).ravel()]})
+
+    # The chunks of conversations with more than one.
+    later = turns.filter((F.col("rank") > 0) & (F.col("rank") % CHUNK == 0)).select("conv_id", "chunk")
+    several = later.union(later.filter("chunk = 1").select("conv_id", F.lit(0).cast("long").alias("chunk")))
+    chunks = scratch.keep(
+        turns.select("conv_id", "chunk", "rank", "role")
+        .join(several, ["conv_id", "chunk"], "left_semi")
         .repartition("conv_id", "chunk")
         .sortWithinPartitions(*order)
         .select("conv_id", "chunk", "role")
-        .mapInPandas(chunk_costs, "conv_id bigint, chunk bigint, costs array<double>")
-        .repartition("conv_id")
-        .sortWithinPartitions("conv_id", "chunk")
-        .mapInPandas(between, "conv_id bigint, chunk bigint, entry string, leave string")
+        .mapInPandas(chunk_costs, "conv_id bigint, chunk bigint, costs array<double>"),
+        "costs",
     )
+    fixed = between_chunks(chunks, scratch)
 
     def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for (conv, chunk), rows in _groups(batches, ["conv_id", "chunk"]):

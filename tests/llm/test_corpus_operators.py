@@ -386,6 +386,31 @@ def test_chat_rows_and_chunks(spark):
     assert chats.repair_chats(table.filter("false")).count() == 0
 
 
+def test_chat_chunks_are_bounded_by_rank(spark, monkeypatch):
+    rng = random.Random(10)
+    roles = ["system", "user", "assistant", "assistant", None]
+    rows = [(1, 0, rng.choice(roles), f"t{i % 50}") for i in range(900)]
+    rows += [(2, None, rng.choice(roles), f"t{i}") for i in range(700)]
+    rows += [(None, i % 3, rng.choice(roles), "same") for i in range(1_300)]
+    rows += [(3, 5_000 * i, rng.choice(roles), "x" * 70 + str(i)) for i in range(40)]
+    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(5)
+    # The small size needs several levels of composed chunks.
+    for size in (512, 7):
+        monkeypatch.setattr(chats, "CHUNK", size)
+        got = chats.repair_chats(table).orderBy("conv_id", "chunk", "place").collect()
+        for conv in (None, 1, 2, 3):
+            own = [r for r in got if r["conv_id"] == conv]
+            given = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is None, r[1] or 0, r[2] or "", r[3]))
+            assert [(r["chunk"], r["place"]) for r in own] == [divmod(i, size) for i in range(len(given))]
+            assert [r["turn"] for r in own] == [r[1] for r in given]
+            total, state = 0.0, "start"
+            for r, (_, _, role, text) in zip(own, given):
+                total += next(c for c, new, a, p in chats.moves(state, role) if (new, a, p) == (r["role"], r["action"], r["inserted"]))
+                assert r["piece"] == chats.piece(r["action"], r["role"], r["inserted"], text)
+                state = r["role"]
+            assert abs(total - chats.costs([r[2] for r in given])[0].min()) < 1e-6
+
+
 def test_mixing(spark):
     rows = [(i, " ".join(["w"] * (5 + i % 7)), "big" if i < 900 else "mid" if i < 990 else "small") for i in range(1_000)]
     rows += [(2_000, None, None), (2_001, "", "empty")]
