@@ -9,6 +9,7 @@ from ledgerlens.llm.decontamination import contamination
 from ledgerlens.llm.mixing import mix_sources
 from ledgerlens.llm.near_duplicates import near_duplicates
 from ledgerlens.llm.private_data import redact
+from ledgerlens.llm.scratch import Scratch
 from ledgerlens.llm.toxicity import score_column, train
 
 
@@ -25,9 +26,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a window of a benchmark item."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.filter("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Without the documents that hold a window of a benchmark item; rows without doc_id are judged by their text."""
+    key = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
+    keyed = docs.select(key.alias("doc_id"), "text")
+    found = contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = found.filter("contaminated").select(F.col("doc_id").alias("_key")).distinct()
+    return docs.withColumn("_key", key).join(gone, "_key", "left_anti").select(*docs.columns)
 
 
 def redact_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table ``documents``."""
+    """All stages over the table ``documents``; each result is written to the shared folder and read back."""
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
     return docs

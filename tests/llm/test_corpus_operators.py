@@ -449,3 +449,30 @@ def test_pipeline_stages(spark):
         if k == 3:
             assert not any(private_data.base_spans(r["text"]) for r in docs.collect())
     assert counts[0] >= counts[1] >= counts[2] >= counts[3] == counts[4] > 0
+
+
+def test_contaminated_rows_without_id_are_dropped(spark, tmp_path):
+    import corpus_pipeline
+
+    item = " ".join(f"q{i}" for i in range(12))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"before {item} after"), (None, "of no interest"), (None, None), (1, item), (2, "also kept")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {tuple(r) for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()}
+    assert kept == {rows[1], rows[2], rows[4]}
+
+
+def test_pipeline_writes_each_stage(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "a")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+
+    def stage(spark, docs, folder):
+        seen.append(docs.inputFiles())
+        return docs.withColumn("text", F.concat("text", F.lit("b")))
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage)])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert [r["text"] for r in out.collect()] == ["abb"]
+    assert "/pipeline-" in seen[1][0] and "/pipeline-" in out.inputFiles()[0]
