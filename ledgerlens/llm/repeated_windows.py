@@ -1,17 +1,16 @@
-"""Removal of byte windows that occur earlier, by a depth-limited radix sort of suffixes.
+"""Removal of byte windows that occur earlier, by minimizers and hash grouping.
 
-A suffix matters only through its first ``WINDOW`` bytes, and only if another suffix shares
-them. The sort goes by most significant digits: each pass groups suffixes by a longer part
-of those bytes and drops groups of one, so after the last pass equal groups are exactly the
-repeated windows. Two ideas keep the number of sorted items far below the number of bytes:
+This replaces a depth-limited radix sort of suffixes: nothing is ordered. Each pass groups
+blocks of windows by hash and drops groups of one, so after the last pass equal groups are
+exactly the repeated windows. Two ideas keep the number of items far below that of bytes:
 
 *Anchors.* Each window is charged to its least ``SEED``-byte piece by hash. Equal windows
-are charged to equal pieces at equal offsets, so windows with the same piece can be sorted
+are charged to equal pieces at equal offsets, so windows with the same piece can be compared
 together, as offsets around it; runs of neighbouring windows share their anchor.
 
-*Blocks.* A pass handles blocks of neighbouring windows around an anchor. The digit of a
-block is its *core*, the bytes common to all its windows; its *span* is the bytes that any
-of them covers. If the core occurs once, no window of the block repeats. If the span
+*Blocks.* A pass handles blocks of neighbouring windows around an anchor. A block's key is
+its *core*, the bytes common to all its windows; its *span* is the bytes that any of them
+covers. If the core occurs once, no window of the block repeats. If the span
 occurred earlier, all its windows did. Only blocks in between are cut into smaller ones for
 the next pass, once per distinct span. With blocks of one window core and span coincide.
 
