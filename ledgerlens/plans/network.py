@@ -32,14 +32,17 @@ def graph_query(name, sql=None):
 
     return register
 
+
 _LINKS = """links AS (
   SELECT 'CARD' AS entity_type, card_key AS entity_key, transaction_id, ts FROM txn
   UNION ALL SELECT 'DEVICE', device_key, transaction_id, ts FROM txn WHERE device_key IS NOT NULL
   UNION ALL SELECT 'ADDRESS', addr_key, transaction_id, ts FROM txn WHERE addr_key IS NOT NULL),
-deg AS (SELECT entity_type, entity_key, count(*) AS degree FROM links GROUP BY ALL),
-kept AS (SELECT links.* FROM links JOIN deg USING (entity_type, entity_key) WHERE degree <= {HUB})"""
+deg AS (SELECT entity_type, entity_key, count(*) AS degree FROM links GROUP BY ALL)"""
+
+_KEPT = f"""{_LINKS},
+kept AS (SELECT links.* FROM links JOIN deg USING (entity_type, entity_key) WHERE degree <= {{HUB}})"""
 
-_EXPAND = f"""{_LINKS},
+_EXPAND = f"""{_KEPT},
 cand AS (SELECT s.transaction_id AS seed_id, m.entity_type, m.entity_key, m.transaction_id AS member_id,
     m.ts AS member_ts,
     row_number() OVER (PARTITION BY s.transaction_id, m.entity_type, m.entity_key ORDER BY m.ts DESC, m.transaction_id DESC) AS rn,
@@ -75,7 +78,7 @@ def entity_degree(spark, folder, params):
 
 @graph_query(
     "seed_entities",
-    f"WITH {{TXN}}, {_LINKS} SELECT transaction_id AS seed_id, entity_type, entity_key FROM kept",
+    f"WITH {{TXN}}, {_KEPT} SELECT transaction_id AS seed_id, entity_type, entity_key FROM kept",
 )
 def seed_entities(spark, folder, params):
     txn, links = _links(spark, folder)
@@ -84,7 +87,7 @@ def seed_entities(spark, folder, params):
 
 @graph_query(
     "window_neighbours",
-    f"""WITH {{TXN}}, {_LINKS} SELECT q.transaction_id AS query_id, l.entity_type, l.entity_key, l.transaction_id, l.ts
+    f"""WITH {{TXN}}, {_KEPT} SELECT q.transaction_id AS query_id, l.entity_type, l.entity_key, l.transaction_id, l.ts
 FROM kept q JOIN kept l USING (entity_type, entity_key) WHERE l.ts >= q.ts - 86400 AND l.ts < q.ts""",
 )
 def window_neighbours(spark, folder, params):
