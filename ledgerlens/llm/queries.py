@@ -20,6 +20,7 @@ from ledgerlens.llm import (
     repeated_windows,
     token_counts,
     toxicity,
+    vector_links,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +114,10 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op11_vector_links(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_links.vector_links(_table(spark, folder, "embeddings"))
+
+
 LETTERS = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"regexp_extract_all({LETTERS}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -147,6 +152,19 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.low,
   w.doc_id <= coalesce(m.low, w.doc_id) AS kept
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
+SQL["op11_vector_links"] = """
+WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ok AS (SELECT * FROM e WHERE label IS NOT NULL AND len(v) > 0
+  AND len(list_filter(v, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, x -> x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+r(vec_id, other) AS (SELECT a, b FROM l UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.other),
+m AS (SELECT vec_id, min(other) AS low FROM r GROUP BY vec_id)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(m.low, e.vec_id)) AS component_id,
+  e.vec_id <= coalesce(m.low, e.vec_id) AS kept
+FROM e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN m ON m.vec_id = e.vec_id"""
+
 for _name, _fn in list(globals().items()):
     if _name.startswith("op") and callable(_fn):
         QUERIES[_name] = _fn
