@@ -155,7 +155,7 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
 SQL["op11_vector_links"] = """
 WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 ok AS (SELECT * FROM e WHERE label IS NOT NULL AND len(v) > 0
-  AND len(list_filter(v, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, x -> x <> 0)) > 0),
+  AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id
   WHERE len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93),
 n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
