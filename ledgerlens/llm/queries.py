@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from ledgerlens.llm import (
+    alignment,
     chats,
     decontamination,
     fingerprints,
@@ -118,6 +119,14 @@ def op11_vector_links(spark: SparkSession, folder: str) -> DataFrame:
     return vector_links.vector_links(_table(spark, folder, "embeddings"))
 
 
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align_tokenizers(
+        _table(spark, folder, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+
+
 LETTERS = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"regexp_extract_all({LETTERS}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
