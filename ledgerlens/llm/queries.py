@@ -14,6 +14,7 @@ from ledgerlens.llm import (
     chats,
     decontamination,
     fingerprints,
+    lexical_search,
     licenses,
     mixing,
     near_duplicates,
@@ -127,6 +128,10 @@ def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.ranked_search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 LETTERS = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"regexp_extract_all({LETTERS}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -174,6 +179,21 @@ SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(m.low, e.
   e.vec_id <= coalesce(m.low, e.vec_id) AS kept
 FROM e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN m ON m.vec_id = e.vec_id"""
 
+TERMS = rf"coalesce(regexp_extract_all({LETTERS}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), [])"
+
+SQL["op13_lexical_search"] = rf"""
+WITH d AS (SELECT doc_id, {TERMS} AS t FROM documents),
+c AS (SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS terms FROM d WHERE len(t) > 0),
+tf AS (SELECT doc_id, len(t) AS n, term, count(*) AS tf FROM (SELECT doc_id, t, unnest(t) AS term FROM d) GROUP BY ALL),
+q AS (SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), c),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // terms))))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term), c GROUP BY item_id, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+  FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50"""
+
 for _name, _fn in list(globals().items()):
     if _name.startswith("op") and callable(_fn):
         QUERIES[_name] = _fn
