@@ -8,9 +8,10 @@
 3. Components need connections, not all pairs. In the first round each bucket links its
    members to a centre drawn by hash. For buckets still apart, shingles that no other such
    document has bound what a document can share with any other. The second round takes the
-   member with the least of its own as centre. What is then still apart in some bucket is
-   compared pair by pair, members of the centre's component only with the others; copies
-   that were each edited in their own way are ruled out by the bound and form no pairs.
+   member with the least of its own as centre. What is then still apart is compared in blocks
+   of ``BLOCK`` documents that travel with their sets: the documents of a group of buckets that
+   are outside its main component against all others of the group. A block pair checks bands,
+   bounds, signatures and full sets in one task, so no table of pairs comes into being.
 4. Candidates compare signatures batch after batch. After n hashes with m matches and a
    uniform prior, P(similarity >= 0.75) is the probability of at most m successes in n + 1
    trials of 0.75; below ``MISS`` the pair is dropped.
@@ -31,6 +32,7 @@ from ledgerlens.llm.bytewords import SPACED, U64, Words, blocks, grams, mix, tex
 from ledgerlens.llm.scratch import Scratch
 from ledgerlens.llm.slots import may_hold
 from ledgerlens.operators.components import connected_components
+from ledgerlens.operators.spread import spread_join
 
 SHINGLE = 5
 # Similarity as a fraction of whole numbers, so that the limit itself is exact.
@@ -45,6 +47,9 @@ MISS = 1e-6
 DRAWS = 4
 # Members verified against one copy of their centre's text.
 PIECE = 16
+# Documents of one block in the last round, and blocks compared with one copy of another.
+BLOCK = 256
+PARTNERS = 8
 
 _draw = np.random.default_rng(20240607)
 _MULTIPLY = _draw.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * U64(2) + U64(1)
@@ -74,8 +79,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return hashes, np.searchsorted(doc, np.arange(len(offsets)))
 
 
-def _sketches(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, signature, bands) per row; no signature without words."""
+def _sketches(documents: DataFrame, with_set: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, set_a, set_b, signature, bands) per row; no signature without words.
+
+    ``with_set`` adds the hashes of the shingles, ascending, as ``shingles``.
+    """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,9 +93,12 @@ def _sketches(documents: DataFrame) -> DataFrame:
             sums = np.zeros((n, 2), dtype=U64)
             signature = np.zeros((n, SIGNATURE), dtype=np.uint32)
             bands = np.zeros((n, BANDS), dtype=U64)
+            sets = []
             for i, j in blocks(offsets):
                 h, first = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 sizes[i:j] = np.diff(first)
+                if with_set:
+                    sets += [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
                 full = np.flatnonzero(np.diff(first))
                 if not len(full):
                     continue
@@ -102,25 +113,26 @@ def _sketches(documents: DataFrame) -> DataFrame:
                             signature[rows, r] = least >> U64(32)
                         key = mix(key * U64(0x9DDFEA08EB382D69) + least)
                     bands[rows, b] = key
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(sizes),
-                    pa.array(sums[:, 0].view(np.int64) if n else np.zeros(0, np.int64)),
-                    pa.array(sums[:, 1].copy().view(np.int64)),
-                    pa.FixedSizeBinaryArray.from_buffers(
-                        pa.binary(4 * SIGNATURE), n, [None, pa.py_buffer(signature.tobytes())]
-                    ).cast(pa.binary()),
-                    pa.ListArray.from_arrays(
-                        pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel().view(np.int64))
-                    ),
-                ],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "signature", "bands"],
-            )
-
+            columns = [
+                batch.column(0),
+                pa.array(sizes),
+                pa.array(sums[:, 0].view(np.int64) if n else np.zeros(0, np.int64)),
+                pa.array(sums[:, 1].copy().view(np.int64)),
+                pa.FixedSizeBinaryArray.from_buffers(
+                    pa.binary(4 * SIGNATURE), n, [None, pa.py_buffer(signature.tobytes())]
+                ).cast(pa.binary()),
+                pa.ListArray.from_arrays(
+                    pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel().view(np.int64))
+                ),
+            ]
+            names = ["doc_id", "n_shingles", "set_a", "set_b", "signature", "bands"]
+            if with_set:
+                columns, names = [*columns, pa.array(sets, pa.binary())], [*names, "shingles"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature binary, bands array<bigint>"
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        sketch,
-        "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature binary, bands array<bigint>",
+        sketch, f"{schema}, shingles binary" if with_set else schema
     )
 
 
@@ -175,7 +187,7 @@ def _confirm(pairs: DataFrame, documents: DataFrame) -> DataFrame:
         wanted("doc_id")
     )
     pieces = pairs.groupBy("centre").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
-    members = pairs.join(pieces, "centre").select(
+    members = spread_join(pairs, pieces, ["centre"], by=["doc_id"]).select(
         "centre", F.pmod(F.xxhash64("doc_id"), "pieces").cast("int").alias("piece"), "doc_id", F.lit(False).alias("own")
     )
     centres = pieces.select(
@@ -275,6 +287,138 @@ def _buckets(rows: DataFrame, draw) -> DataFrame:
     )
 
 
+class _Block:
+    """Documents of one block with what their comparison needs."""
+
+    def __init__(self, rows: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(rows)
+        self.ids, self.component, self.own = (table[c].to_numpy() for c in ("doc_id", "component", "own"))
+        n = table.num_rows
+        self.signature = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint32).reshape(n, SIGNATURE)
+        self.bands = table["bands"].combine_chunks().values.to_numpy().reshape(n, BANDS)
+        self.sets = [np.frombuffer(x, U64) for x in table["shingles"].to_pylist()]
+        self.size = np.array([len(x) for x in self.sets])
+
+    def candidates(self, other: _Block) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of different components that share a band and can reach the limit."""
+        shared = np.zeros((len(self.ids), len(other.ids)), dtype=bool)
+        for b in range(BANDS):
+            shared |= self.bands[:, b, None] == other.bands[None, :, b]
+        shared &= self.component[:, None] != other.component[None]
+        both = np.minimum((self.size - self.own)[:, None], (other.size - other.own)[None])
+        shared &= LIMIT[1] * both >= LIMIT[0] * (self.size[:, None] + other.size[None] - both)
+        i, j = shared.nonzero()
+        matches = np.zeros(len(i), dtype=np.int64)
+        for n in range(BATCH, SIGNATURE + 1, BATCH):
+            part = slice(n - BATCH, n)
+            matches += (self.signature[i, part] == other.signature[j, part]).sum(axis=1)
+            alive = matches >= needed_matches(n)
+            i, j, matches = i[alive], j[alive], matches[alive]
+        return i, j
+
+    def links(self, other: _Block) -> Iterator[tuple[int, int]]:
+        """Confirmed links; pairs that earlier ones have connected already are left out."""
+        low: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while low.get(x, x) != x:
+                low[x] = x = low.get(low[x], low[x])
+            return x
+
+        for a, b in zip(*self.candidates(other)):
+            p, q = find(int(self.component[a])), find(int(other.component[b]))
+            if p == q:
+                continue
+            x, y = self.sets[a], other.sets[b]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if LIMIT[1] * both >= LIMIT[0] * (len(x) + len(y) - both) > 0:
+                low[max(p, q)] = min(p, q)
+                yield int(self.ids[a]), int(other.ids[b])
+
+
+def _compare_blocks(rows: DataFrame, documents: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links between documents of different components in the buckets ``rows`` (doc_id, centre, own, component).
+
+    Documents that meet in some bucket are in one group. The component with most documents
+    of a group is its main one; its documents are compared with the others only.
+    """
+    ids = rows.groupBy("doc_id").agg(F.min("own").alias("own"), F.min("component").alias("component"))
+    groups = connected_components(rows, "doc_id", "centre").select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
+    placed = scratch.keep(ids.join(groups, "doc_id"), "grouped")
+    main = (
+        placed.groupBy("group", "component")
+        .agg(F.count("*").alias("rows"))
+        .groupBy("group")
+        .agg(F.max_by("component", F.struct("rows", "component")).alias("main"))
+    )
+    sided = spread_join(placed, main, ["group"], by=["doc_id"]).withColumn("beside", F.col("component") != F.col("main")).drop("main")
+    sizes = sided.groupBy("group").agg(
+        F.ceil(F.count_if("beside") / BLOCK).cast("int").alias("n_beside"),
+        F.ceil(F.count_if(~F.col("beside")) / BLOCK).cast("int").alias("n_main"),
+    )
+    # Blocks 0 .. n_beside - 1 lie beside the main component.
+    count = F.when(F.col("beside"), F.col("n_beside")).otherwise(F.col("n_main"))
+    block = F.pmod(F.xxhash64("doc_id"), count) + F.when(F.col("beside"), 0).otherwise(F.col("n_beside"))
+    sketches = _sketches(
+        documents.withColumn("doc_id", F.col("doc_id").cast("long")).filter(may_hold(placed, "doc_id")("doc_id")), with_set=True
+    ).select("doc_id", "signature", "bands", "shingles")
+    blocks_of = scratch.keep(
+        spread_join(sided, sizes, ["group"], by=["doc_id"])
+        .select("group", block.cast("int").alias("q"), "doc_id", "own", "component")
+        .join(sketches, "doc_id"),
+        "blocks",
+    )
+    pairs = (
+        sizes.filter("n_beside > 0")
+        .select("group", F.explode(F.sequence(F.lit(0), F.col("n_beside") - 1)).alias("p"), (F.col("n_beside") + F.col("n_main")).alias("all"))
+        .select("group", "p", F.explode(F.sequence(F.col("p"), F.col("all") - 1)).alias("q"))
+        .withColumn("piece", F.floor((F.col("q") - F.col("p")) / PARTNERS).cast("int"))
+    )
+    own = pairs.groupBy("group", "p", "piece").agg(F.first("p").alias("q"))
+    streamed = pairs.filter("p != q").withColumn("own", F.lit(False)).unionByName(own.withColumn("own", F.lit(True)))
+    dealt = (
+        streamed.withColumnRenamed("own", "mine")
+        .join(blocks_of, ["group", "q"])
+        .repartition("group", "p", "piece")
+        .sortWithinPartitions("group", "p", "piece", F.desc("mine"), "q")
+        .select("group", "p", "piece", "q", "doc_id", "own", "component", "signature", "bands", "shingles")
+    )
+    schema = pa.schema([("doc_id", pa.int64()), ("centre", pa.int64())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting, mine = None, [], None
+
+        def settle() -> list[tuple[int, int]]:
+            nonlocal mine
+            if not waiting:
+                return []
+            other = _Block(waiting)
+            waiting.clear()
+            if now[1] == now[3]:
+                mine = other
+                return list(mine.links(mine)) if now[2] == 0 else []
+            return list(mine.links(other))
+
+        def told(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"doc_id": [a for a, _ in found], "centre": [b for _, b in found]}, schema=schema)
+
+        for batch in batches:
+            keys = list(zip(*[batch.column(i).to_pylist() for i in range(4)]))
+            start = 0
+            while start < len(keys):
+                end = start + 1
+                while end < len(keys) and keys[end] == keys[start]:
+                    end += 1
+                if keys[start] != now:
+                    yield told(settle())
+                    now = keys[start]
+                waiting.append(batch.slice(start, end - start))
+                start = end
+        yield told(settle())
+
+    return dealt.mapInArrow(compare, "doc_id bigint, centre bigint")
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``documents``.
 
@@ -334,29 +478,22 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     )
     # The member with the least of its own is the most typical one, such as a template.
     typical = F.struct(F.col("own") / F.col("n"), F.xxhash64("doc_id", "band"))
-    for every_pair in (False, True):
-        rows = labelled(apart)
-        rows = scratch.keep(rows.join(_buckets(rows, typical), "bucket"), "split")
-        beside = rows.filter("component != centre_component")
-        whole = rows.select(
-            "bucket",
-            F.col("doc_id").alias("other_id"),
-            F.col("n").alias("other_n"),
-            F.col("own").alias("other_own"),
-            F.col("component").alias("other"),
-            F.col("centre").alias("other_centre"),
-            (F.col("component") == F.col("centre_component")).alias("central"),
-        )
-        if not every_pair:
-            whole = whole.filter("other_id = other_centre")
-        pairs = (
-            beside.join(whole, "bucket")
-            .filter("component != other AND (central OR doc_id < other_id)")
-            .filter(_can_reach("n", "other_n", "own", "other_own"))
-            .select("doc_id", F.col("other_id").alias("centre"))
-        )
-        links = links.union(linked_by(pairs))
-        components = scratch.keep(connected_components(links, "doc_id", "centre"), "components")
+    rows = labelled(apart)
+    rows = scratch.keep(rows.join(_buckets(rows, typical), "bucket"), "split")
+    centres = rows.filter("doc_id = centre").select("bucket", F.col("n").alias("other_n"), F.col("own").alias("other_own"))
+    pairs = (
+        rows.filter("component != centre_component")
+        .join(centres, "bucket")
+        .filter(_can_reach("n", "other_n", "own", "other_own"))
+        .select("doc_id", "centre")
+    )
+    links = links.union(linked_by(pairs))
+    components = scratch.keep(connected_components(links, "doc_id", "centre"), "components")
+
+    rows = labelled(apart)
+    rows = scratch.keep(rows.join(_buckets(rows, typical), "bucket").select("doc_id", "centre", "own", "component"), "left")
+    links = links.union(scratch.keep(_compare_blocks(rows, documents, scratch), "links"))
+    components = scratch.keep(connected_components(links, "doc_id", "centre"), "components")
 
     linked = members.join(components, members["head"] == components["node"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "head").alias("component_id")
