@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.scratch import Scratch
 from ledgerlens.operators.running import prior_totals
+from ledgerlens.operators.spread import spread_join
 
 CUTS = 16
 PASSES = 6
@@ -55,8 +56,13 @@ def _solve(sources: DataFrame, total: float, budget: float, entropy: float | Non
     return high
 
 
-def permutation_key(doc_id: Column, epoch: Column, seed: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(doc_id, epoch.cast("long"), F.lit(seed)), 1)
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """What a row is permuted by: its id and its text, so rows without id have keys of their own."""
+    return F.xxhash64(F.col(doc_id).cast("long"), text)
+
+
+def permutation_key(row: Column, epoch: Column, seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(row, epoch.cast("long"), F.lit(seed)), 1)
 
 
 def mixing_plan(documents: DataFrame, budget: float | None, entropy: float | None, repeats: float, seed: int) -> DataFrame:
@@ -64,7 +70,7 @@ def mixing_plan(documents: DataFrame, budget: float | None, entropy: float | Non
     scratch = Scratch(documents.sparkSession, "mixing")
     narrow = documents.select(
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
-        F.col("doc_id").cast("long").alias("doc_id"),
+        row_key().alias("row"),
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+")).cast("long").alias("n_tokens"),
     )
     narrow = scratch.keep(narrow, "tokens")
@@ -83,9 +89,8 @@ def mixing_plan(documents: DataFrame, budget: float | None, entropy: float | Non
     )
     plan = scratch.keep(plan, "plan")
     small = plan.count() <= SMALL
-    keyed = narrow.join(F.broadcast(plan) if small else plan, "source").select(
-        "source", "rest", permutation_key(F.col("doc_id"), F.col("blocks"), seed).alias("key"), "n_tokens"
-    )
+    planned = narrow.join(F.broadcast(plan), "source") if small else spread_join(narrow, plan, ["source"], by=["row"])
+    keyed = planned.select("source", "rest", permutation_key(F.col("row"), F.col("blocks"), seed).alias("key"), "n_tokens")
     steps = keyed.select(
         "source",
         F.shiftright("key", 51).alias("first"),
@@ -117,21 +122,23 @@ def mix_sources(
     With ``entropy`` (nats) the mix has that entropy, as far as exponents from 0 to 1
     reach; else no source repeats more than ``repeats`` times. Sorting by ``mix_block`` and
     ``mix_key`` gives the permuted blocks. A null source is a source of its own, the empty
-    name; a source without tokens is left out. Rows of equal doc_id move together, also
-    those without id. Columns that clash with the two new ones are replaced.
+    name; a source without tokens is left out. Rows of equal doc_id and text move together;
+    rows without id are told apart by their text. Columns that clash with the two new ones
+    are replaced, others keep their names and values.
     """
     plan = mixing_plan(documents, budget, entropy, repeats, seed)
     small = plan.count() <= SMALL
-    plan = plan.select(F.col("source").alias("_mix_source"), F.col("blocks").alias("_mix_blocks"), F.col("cut").alias("_mix_cut"))
     kept = [c for c in documents.columns if c not in {"mix_block", "mix_key"}]
-    rows = documents.select(*kept).withColumn("_mix_source", F.coalesce(F.col("source").cast("string"), F.lit("")))
-    last = permutation_key(F.col("doc_id").cast("long"), F.col("_mix_blocks"), seed) < F.col("_mix_cut")
-    rows = rows.join(F.broadcast(plan) if small else plan, "_mix_source")
-    copies = F.col("_mix_blocks") + F.when(last, 1).otherwise(0)
+    # Names that no column of the documents has.
+    source, row, blocks, cut, copies = (f"{'_' * (1 + max(map(len, kept)))}{c}" for c in ("source", "row", "blocks", "cut", "copies"))
+    plan = plan.select(F.col("source").alias(source), F.col("blocks").alias(blocks), F.col("cut").alias(cut))
+    rows = documents.select(*kept).withColumns({source: F.coalesce(F.col("source").cast("string"), F.lit("")), row: row_key()})
+    rows = rows.join(F.broadcast(plan), source) if small else spread_join(rows, plan, [source], by=[row])
+    last = permutation_key(F.col(row), F.col(blocks), seed) < F.col(cut)
     return (
-        rows.withColumn("_mix_copies", copies)
-        .filter("_mix_copies > 0 AND (_mix_cut < 9223372036854775807 OR _mix_blocks > 0)")
-        .withColumn("mix_block", F.explode(F.sequence(F.lit(0), F.col("_mix_copies") - 1)))
-        .withColumn("mix_key", permutation_key(F.col("doc_id").cast("long"), F.col("mix_block"), seed))
+        rows.withColumn(copies, F.col(blocks) + F.when(last, 1).otherwise(0))
+        .filter((F.col(copies) > 0) & ((F.col(cut) < (1 << 63) - 1) | (F.col(blocks) > 0)))
+        .withColumn("mix_block", F.explode(F.sequence(F.lit(0), F.col(copies) - 1)))
+        .withColumn("mix_key", permutation_key(F.col(row), F.col("mix_block"), seed))
         .select(*kept, "mix_block", "mix_key")
     )

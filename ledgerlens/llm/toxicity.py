@@ -34,6 +34,8 @@ POSITIVES = 4_000
 UNLABELLED = 8_000
 # Standard errors by which a word's rate among positives must differ to become a feature.
 SIGNIFICANT = 4.0
+# The class prior is kept within these limits.
+LEAST_PRIOR, MOST_PRIOR = 1e-3, 0.5
 EPOCHS = 300
 STEP = 0.1
 DECAY = 1e-4
@@ -127,7 +129,9 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
 
     A document is positive if any of its label rows says toxic = 1; null and other labels
     leave it unlabelled. The class prior is the share of positives among labelled
-    documents. Without positives every score is one half, without features the prior.
+    documents, within ``LEAST_PRIOR`` and ``MOST_PRIOR``. Without positives every score is the
+    least prior, without features the prior. Of a sampled id with several texts one is read,
+    the least by hash.
     """
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(
         "doc_id IS NOT NULL AND toxic IS NOT NULL"
@@ -141,12 +145,17 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
 
     n_all, n_pos = marked.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
     if not n_pos:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
-    prior = min(0.5, max(1e-3, n_pos / n_all))
+        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(LEAST_PRIOR / (1 - LEAST_PRIOR))))
+    prior = min(MOST_PRIOR, max(LEAST_PRIOR, n_pos / n_all))
     positives = sample(marked.filter("toxic = 1"), POSITIVES).withColumn("positive", F.lit(1))
     others = sample(texts.filter(~held_out(F.col("doc_id"))), UNLABELLED).withColumn("positive", F.lit(0))
     # The sampled ids number POSITIVES + UNLABELLED at most, so they may be sent to every task.
-    chosen = texts.join(F.broadcast(positives.union(others)), "doc_id").select("positive", "text")
+    chosen = (
+        texts.join(F.broadcast(positives.union(others)), "doc_id")
+        .groupBy("doc_id", "positive")
+        .agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+        .select("positive", "text")
+    )
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -346,7 +346,50 @@ def test_toxicity_held_out(spark, empty):
 
 def test_toxicity_without_labels(spark, docs):
     labels = spark.createDataFrame([(1, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    assert {r["score"] for r in toxicity.toxicity(docs, labels).collect()} == {0.5}
+    rows = toxicity.toxicity(docs, labels).collect()
+    assert len({r["score"] for r in rows}) == 1 and all(r["score"] < 0.5 and r["predicted"] == 0 for r in rows)
+
+
+def test_pipeline_keeps_a_corpus_without_positives(spark, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(20)], "doc_id long, text string")
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == 20
+
+
+def test_toxicity_reads_one_text_per_sampled_id(spark):
+    docs = spark.createDataFrame([(1, f"bad words {i}") for i in range(200)] + [(i, f"fine {i}") for i in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i == 1)) for i in range(1, 60)], "doc_id long, quality int, toxic int")
+    assert toxicity.toxicity(docs, labels).count() == 258
+
+
+def test_fit_descends_the_non_negative_risk():
+    """The learned scorer has a lower risk than the start, and than any one of its weights taken back."""
+    rng = np.random.default_rng(4)
+
+    def sample(n, rate):
+        held = rng.random((n, 6)) < rate
+        doc, word = held.nonzero()
+        return toxicity.Features(word, np.searchsorted(doc, np.arange(n + 1))), held
+
+    (pos, x_pos), (un, x_un) = sample(200, [0.8, 0.7, 0.1, 0.3, 0.3, 0.2]), sample(400, [0.2, 0.1, 0.6, 0.3, 0.3, 0.2])
+    prior = 0.1
+
+    def risk(weights, bias):
+        p, u = (1 / (1 + np.exp(-(x @ weights + bias))) for x in (x_pos, x_un))
+        clean = -np.log(1 - u).mean() + prior * np.log(1 - p).mean()
+        return -prior * np.log(p).mean() + max(0.0, clean) + toxicity.DECAY / 2 * (weights @ weights)
+
+    weights, bias = toxicity.fit(pos, un, 6, prior)
+    least = risk(weights, bias)
+    assert least < risk(np.zeros(6), np.log(prior / (1 - prior)))
+    assert weights[0] > 0 and weights[1] > 0 and weights[2] < 0
+    for k in (0, 1, 2):
+        without = weights.copy()
+        without[k] = 0
+        assert least < risk(without, bias)
 
 
 def best_cost(roles, state="start"):
@@ -430,6 +473,47 @@ def test_mixing(spark):
     assert mixing.mix_sources(docs.filter("false")).count() == 0
 
 
+def test_mixing_of_rows_without_id(spark):
+    rows = [(i, f"w{i} b c d e", "big") for i in range(300)] + [(None, f"n{i} b c d e", "nameless") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"_mix_source": F.lit(1), "_": F.lit(2)})
+    mixed = mixing.mix_sources(docs, budget=2000.0, repeats=1.0)
+    assert mixed.columns == [*docs.columns, "mix_block", "mix_key"]
+    plan = {r["source"]: r["weight"] * 2000 for r in mixing.mixing_plan(docs, 2000.0, None, 1.0, 8).collect()}
+    for source, n in mixed.groupBy("source").count().collect():
+        assert 0 <= plan[source] - 5 * n < 5
+    half = mixing.mix_sources(docs, budget=1000.0, repeats=0.5).filter("source = 'nameless'").count()
+    assert half == 50
+    assert {(r["_mix_source"], r["_"]) for r in mixed.collect()} == {(1, 2)}
+
+
+def test_near_duplicate_stage_keeps_one_of_equal_rows(spark):
+    import corpus_pipeline
+
+    text = "one two three four five six seven"
+    rows = [(1, text, "a"), (1, text, "a"), (None, text, "a"), (None, text, "b"), (None, "other words", "a"), (None, "other words", "b"), (2, "x", None)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, source string, _ int")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == [(1, text), (2, "x"), (None, "other words")]
+
+
+def test_stages_leave_clashing_columns_alone(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "q1 q2 q3")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, "q1 q2 q3", 7), (1, "other", 8), (2, None, 9)], "doc_id long, text string, _key int")
+    kept = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(tuple, kept), key=repr) == [(1, "other", 8), (2, None, 9)]
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{FOLDER}/{name}.parquet").filter("false").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
