@@ -10,6 +10,7 @@ from ledgerlens.llm.mixing import mix_sources
 from ledgerlens.llm.near_duplicates import near_duplicates
 from ledgerlens.llm.private_data import redact
 from ledgerlens.llm.scratch import Scratch
+from ledgerlens.llm.slots import may_hold
 from ledgerlens.llm.toxicity import score_column, train
 
 
@@ -19,19 +20,38 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.filter(score_column(docs, model)(F.col("text")) < 0.5)
 
 
+def _free_name(docs: DataFrame) -> str:
+    """A column name that the documents do not have."""
+    return "_" * (1 + max(map(len, docs.columns)))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; rows of equal doc_id are one document."""
-    gone = near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates.
+
+    Rows of equal doc_id and text are copies, of which one stays. Other rows of equal doc_id
+    are one document. Rows without id take part under a number made from their text, above
+    the other ids, so that a copy with an id is preferred.
+    """
+    key = _free_name(docs)
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    # Only rows whose key repeats, and few others, meet their copies in a shuffle.
+    repeats = may_hold(keyed.groupBy(key).count().filter("count > 1"), key)
+    rows = keyed.filter(~repeats(key)).unionByName(keyed.filter(repeats(key)).dropDuplicates([key])).drop(key)
+    nameless = F.xxhash64("text").bitwiseOR(1 << 62).bitwiseAND((1 << 63) - 1)
+    rows = rows.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), nameless))
+    gone = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text")).filter("NOT kept")
+    return rows.join(gone.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a window of a benchmark item; rows without doc_id are judged by their text."""
-    key = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
-    keyed = docs.select(key.alias("doc_id"), "text")
-    found = contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.filter("contaminated").select(F.col("doc_id").alias("_key")).distinct()
-    return docs.withColumn("_key", key).join(gone, "_key", "left_anti").select(*docs.columns)
+    """Without the rows that hold a window of a benchmark item; each row is judged by its own text."""
+    key = _free_name(docs)
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = contamination(
+        keyed.select(F.col(key).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    )
+    gone = found.filter("contaminated").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def redact_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
