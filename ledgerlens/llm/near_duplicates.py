@@ -337,14 +337,19 @@ class _Block:
 
 
 def _compare_blocks(rows: DataFrame, documents: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links between documents of different components in the buckets ``rows`` (doc_id, centre, own, component).
+    """Links between documents of different components in the buckets of ``rows`` (bucket, doc_id, own, component).
 
-    Documents that meet in some bucket are in one group. The component with most documents
-    of a group is its main one; its documents are compared with the others only.
+    A group takes the buckets of one least component, so documents that meet in some bucket
+    are together in a group. The component with most documents of a group is its main one;
+    its documents are compared with the others only.
     """
-    ids = rows.groupBy("doc_id").agg(F.min("own").alias("own"), F.min("component").alias("component"))
-    groups = connected_components(rows, "doc_id", "centre").select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
-    placed = scratch.keep(ids.join(groups, "doc_id"), "grouped")
+    lows = (
+        rows.groupBy("bucket")
+        .agg(F.min("component").alias("group"), F.max("component").alias("high"))
+        .filter("group < high")
+        .drop("high")
+    )
+    placed = scratch.keep(rows.join(lows, "bucket").select("group", "doc_id", "own", "component").distinct(), "grouped")
     main = (
         placed.groupBy("group", "component")
         .agg(F.count("*").alias("rows"))
@@ -490,8 +495,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     links = links.union(linked_by(pairs))
     components = scratch.keep(connected_components(links, "doc_id", "centre"), "components")
 
-    rows = labelled(apart)
-    rows = scratch.keep(rows.join(_buckets(rows, typical), "bucket").select("doc_id", "centre", "own", "component"), "left")
+    rows = scratch.keep(labelled(apart).select("bucket", "doc_id", "own", "component"), "left")
     links = links.union(scratch.keep(_compare_blocks(rows, documents, scratch), "links"))
     components = scratch.keep(connected_components(links, "doc_id", "centre"), "components")
 
