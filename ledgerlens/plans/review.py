@@ -450,16 +450,6 @@ def score_missing(spark, folder):
     return M.score_missing(model, filled, stored, "gbt-1")
 
 
-@query("ring_detection")
-def ring_detection(spark, folder):
-    """Metrics on the test rows of a model without and of one with relational inputs."""
-    base, rows, _ = _trained(spark, folder, relational=False)
-    graph, rich, _ = _trained(spark, folder)
-    scored = M.score_rows(base, rows, "base").unionByName(M.score_rows(graph, rich, "graph"))
-    labels = rich.filter("split = 'test'").select("transaction_id", "is_fraud")
-    return X.ranking_metrics(scored.join(labels, "transaction_id", "inner"), "is_fraud", "risk_score", ["model_version"])
-
-
 @query("shuffled_control")
 def shuffled_control(spark, folder):
     """Test metrics with relational inputs of the own row and of a random row of the same split."""
