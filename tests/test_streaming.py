@@ -51,12 +51,45 @@ def test_entity_features_match_batch(spark, tmp_path):
     assert shown(got) == shown(want)
 
 
+def _case_stream(spark, actions, source, batches):
+    """A stream whose micro-batches are the filters ``batches``, closed by a row far ahead that moves the watermark."""
+    for i, part in enumerate(batches):
+        actions.filter(part).coalesce(1).write.parquet(str(source / f"{i}"))
+    ahead = actions.limit(1).withColumns({"case_id": F.lit(-1).cast("long"), "event_time": F.timestamp_seconds(F.lit(10**8))})
+    for last in ("last", "after"):  # the batch after the jump sees the new watermark
+        ahead.coalesce(1).write.parquet(str(source / last))
+    return (
+        spark.readStream.schema(actions.schema).option("maxFilesPerTrigger", 1)
+        .option("recursiveFileLookup", "true").parquet(str(source))
+    )
+
+
 def test_case_status_matches_replay(spark, tmp_path):
-    actions = _actions(spark, FOLDER)
-    actions.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(actions.schema).parquet(str(tmp_path / "in"))
-    got = _run(stream_case_status(stream), "case_stream", tmp_path / "cp")
-    want = cases.replay_actions(actions)
-    def shown(df):
-        return {(r["case_id"], r["seq"]): (r["accepted"], r["status_after"]) for r in df.collect()}
-    assert shown(got) == shown(want)
+    actions = _actions(spark, FOLDER).withColumns(
+        {"case_id": F.col("case_id").cast("long"), "seq": F.col("seq").cast("long"), "event_time": F.timestamp_seconds(F.col("seq") * 60)}
+    )
+    # Later actions come first: the third micro-batch holds what belongs between the others.
+    batches = ["pmod(seq + case_id, 3) = 2", "pmod(seq + case_id, 3) = 0", "pmod(seq + case_id, 3) = 1"]
+    got = _run(stream_case_status(_case_stream(spark, actions, tmp_path / "in", batches)), "case_stream", tmp_path / "cp")
+    columns = ["case_id", "seq", "action", "target", "status_before", "accepted", "reason", "status_after"]
+    want = cases.replay_actions(actions.drop("event_time")).select(*columns).collect()
+    assert len({r["reason"] for r in want}) > 4
+    assert sorted(map(tuple, got.filter("case_id >= 0").select(*columns).collect()), key=repr) == sorted(map(tuple, want), key=repr)
+    assert got.filter("late_actions > 0").count() == 0
+
+
+def test_late_actions_change_nothing_and_are_counted(spark, tmp_path):
+    rows = [(1, 1, "STATUS", "INVESTIGATING"), (1, 2, "STATUS", "ESCALATED"), (1, 5, "DECISION", "CONFIRMED_FRAUD"), (1, 6, "STATUS", "CLOSED")]
+    late = [(1, 3, "STATUS", "INVESTIGATING"), (1, 4, "NOTE", None)]
+    made = spark.createDataFrame(rows + late, "case_id long, seq long, action string, target string")
+    actions = made.withColumns({"acceptable": F.lit(True), "event_time": F.timestamp_seconds(F.col("seq") * 3600)})
+    # Seq 6 moves the watermark to 5 o'clock, seq 9 of another case further; 3 and 4 come after that.
+    other = spark.createDataFrame([(2, 9, "STATUS", "ESCALATED")], made.schema).withColumns(
+        {"acceptable": F.lit(True), "event_time": F.timestamp_seconds(F.lit(20 * 3600))}
+    )
+    batches = ["seq IN (1, 2, 5, 6)", "case_id = 2", "case_id = 2 AND seq = 0", "seq IN (3, 4)"]
+    got = _run(stream_case_status(_case_stream(spark, actions.union(other), tmp_path / "in", batches)), "late_stream", tmp_path / "cp")
+    out = {r["seq"]: (r["accepted"], r["reason"], r["status_after"], r["late_actions"]) for r in got.filter("case_id = 1").collect()}
+    assert out[6] == (True, None, "CLOSED", 0)
+    assert out[3] == (False, "late", "CLOSED", 1) and out[4] == (False, "late", "CLOSED", 2)
+    assert len(out) == 6
