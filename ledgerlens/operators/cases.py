@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators.running import id_levels, prior_totals
 from ledgerlens.operators.spread import spread_join
+from ledgerlens.session import cut_lineage
 
 # Statuses and the statuses each may move to.
 TRANSITIONS = {
@@ -25,8 +26,8 @@ DECISIONS = ("CONFIRMED_FRAUD", "FALSE_POSITIVE")
 DECIDABLE = ("INVESTIGATING", "ESCALATED")
 LABEL_VALUES = {"CONFIRMED_FRAUD": 1, "FALSE_POSITIVE": 0}
 
-# Actions of one case are folded in blocks of this many sequence numbers.
-BLOCK = 1_000
+# Actions of one case are folded in blocks of this many, and blocks in blocks of blocks.
+BLOCK = 100
 
 
 def _index(status: Column) -> Column:
@@ -124,45 +125,52 @@ def _listed(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
 
 
+def action_ranks(actions: DataFrame) -> DataFrame:
+    """(case_id, seq, rank): the place of each action in its case, from 0, whatever the numbers are."""
+    high, middle = id_levels(F.col("seq"))
+    numbered = actions.select("case_id", high.alias("high"), middle.alias("middle"), "seq", F.lit(1).alias("n"))
+    places = prior_totals(numbered, ["case_id"], ["high", "middle", "seq"], sums=("n",))
+    return places.select("case_id", "seq", F.col("prior_n").cast("long").alias("rank"))
+
+
+def fold_tree(acts: DataFrame, longest: int) -> list[DataFrame]:
+    """Blocks of actions, blocks of blocks and so on, each with its ordered items, up to one per case.
+
+    ``acts``: case_id, rank, effect; ``longest``: the number of actions of the longest case.
+    A node of level l covers BLOCK^(l+1) ranks and lists at most BLOCK items.
+    """
+    tree, level = [], acts.select("case_id", F.col("rank").alias("at"), "effect")
+    while True:
+        node = F.floor(F.col("at") / BLOCK).cast("long").alias("node")
+        tree.append(_listed(level.select("case_id", node, "at", "effect"), ["case_id", "node"], "at"))
+        longest = -(-longest // BLOCK)
+        if longest <= 1:
+            return tree
+        level = tree[-1].select("case_id", F.col("node").alias("at"), _compose(F.col("items")).alias("effect"))
+
+
 def replay_actions(actions: DataFrame) -> DataFrame:
     """Outcome of each requested action, in order of ``seq``, starting from NEW.
 
-    ``actions``: case_id, seq (unique per case), action (STATUS, DECISION or NOTE), target,
-    acceptable (checks that need no status, such as references). Rejected actions change
-    nothing. A long case is folded in blocks: each block first becomes the one mapping
-    from status to status that its actions compose to, which gives every block its status
-    at entry; then the blocks are replayed side by side.
+    ``actions``: case_id, seq (a whole number, unique per case, dense or not), action (STATUS,
+    DECISION or NOTE), target, acceptable (checks that need no status, such as references).
+    Rejected actions change nothing. The log of a case is cut by rank into blocks. Each block
+    first becomes the one mapping from status to status that its actions compose to, and so
+    do blocks of blocks; down the same tree every block gets its status at entry, and the
+    blocks are replayed side by side.
     """
     effect = _effect(F.col("action"), F.col("target"), F.col("acceptable"))
-    acts = actions.select(
-        "case_id",
-        F.floor(F.col("seq") / BLOCK**2).cast("long").alias("chapter"),
-        F.floor(F.col("seq") / BLOCK).cast("long").alias("block"),
-        "seq",
-        effect.alias("effect"),
-    )
-    blocks = _listed(acts, ["case_id", "chapter", "block"], "seq")
-    chapters = _listed(
-        blocks.select("case_id", "chapter", "block", _compose(F.col("items")).alias("effect")),
-        ["case_id", "chapter"],
-        "block",
-    )
-    # One entry per million sequence numbers of a case.
-    cases = _listed(
-        chapters.select("case_id", "chapter", _compose(F.col("items")).alias("effect")), ["case_id"], "chapter"
-    )
-    chapter_start = cases.select("case_id", F.inline(_states(F.col("items"), F.lit(0)))).select(
-        "case_id", F.col("at").alias("chapter"), "before"
-    )
-    block_start = (
-        chapters.join(chapter_start, ["case_id", "chapter"], "inner")
-        .select("case_id", F.inline(_states(F.col("items"), F.col("before"))))
-        .select("case_id", F.col("at").alias("block"), "before")
-    )
-    states = (
-        blocks.join(block_start, ["case_id", "block"], "inner")
-        .select("case_id", F.inline(_states(F.col("items"), F.col("before"))))
-        .select("case_id", F.col("at").alias("seq"), _name(F.col("before")).alias("status_before"))
+    ranks = cut_lineage(action_ranks(actions))
+    longest = (ranks.agg(F.max("rank")).first()[0] or 0) + 1
+    acts = actions.select("case_id", "seq", effect.alias("effect")).join(ranks, ["case_id", "seq"])
+    tree = fold_tree(acts, longest)
+    start = tree[-1].select("case_id", "items", F.lit(0).alias("before"))
+    for blocks in reversed(tree[:-1]):
+        entered = start.select("case_id", F.inline(_states(F.col("items"), F.col("before"))))
+        start = blocks.join(entered.withColumnRenamed("at", "node"), ["case_id", "node"]).select("case_id", "items", "before")
+    entered = start.select("case_id", F.inline(_states(F.col("items"), F.col("before"))))
+    states = entered.join(ranks.withColumnRenamed("rank", "at"), ["case_id", "at"]).select(
+        "case_id", "seq", _name(F.col("before")).alias("status_before")
     )
     before, target = F.col("status_before"), F.col("target")
     status, decision = F.col("action") == "STATUS", F.col("action") == "DECISION"

@@ -591,9 +591,7 @@ _REASON = f"""CASE WHEN action = 'NOTE' THEN NULL
   WHEN action = 'DECISION' AND previous NOT IN ('INVESTIGATING', 'ESCALATED') THEN 'not_decidable' END"""
 
 
-@query(
-    "replay_actions",
-    f"""WITH RECURSIVE {_ACTIONS}, numbered AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY seq) AS rn FROM actions),
+_REPLAY = f"""WITH RECURSIVE {_ACTIONS}, numbered AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY seq) AS rn FROM actions),
 run AS (SELECT case_id, rn, seq, action, target, previous, reason,
    CASE WHEN reason IS NULL AND action <> 'NOTE' THEN target ELSE previous END AS status_after
   FROM (SELECT *, {_REASON} AS reason FROM (SELECT *, 'NEW' AS previous FROM numbered WHERE rn = 1))
@@ -601,12 +599,24 @@ run AS (SELECT case_id, rn, seq, action, target, previous, reason,
    CASE WHEN reason IS NULL AND action <> 'NOTE' THEN target ELSE previous END
   FROM (SELECT *, {_REASON} AS reason FROM (SELECT n.*, r.status_after AS previous FROM run r
     JOIN numbered n ON n.case_id = r.case_id AND n.rn = r.rn + 1)))
-SELECT case_id, seq, action, target, previous AS status_before, reason IS NULL AS accepted, reason, status_after FROM run""",
-)
+SELECT case_id, seq, action, target, previous AS status_before, reason IS NULL AS accepted, reason, status_after FROM run"""
+
+
+@query("replay_actions", _REPLAY)
 def replay_actions(spark, folder):
     return K.replay_actions(_actions(spark, folder))
 
 
+@query(
+    "replay_actions_sparse",
+    f"SELECT * REPLACE (1704067200000000 + seq * 977000000 + case_id * 7 AS seq) FROM ({_REPLAY})",
+)
+def replay_actions_sparse(spark, folder):
+    """The same log with time stamps in microseconds as sequence numbers."""
+    stamped = _actions(spark, folder).withColumn("seq", F.lit(1704067200000000) + F.col("seq") * 977000000 + F.col("case_id") * 7)
+    return K.replay_actions(stamped)
+
+
 _REQUESTS = """requests AS (SELECT o_orderkey AS request_id, o_custkey AS transaction_id, o_orderstatus <> 'O' AS needs_evidence,
   CASE o_orderkey % 5 WHEN 0 THEN [] WHEN 1 THEN ['ev-' || o_custkey] WHEN 2 THEN ['ev-' || o_custkey, 'ev-' || o_custkey]
    WHEN 3 THEN ['ev-' || o_custkey, 'ev-' || (o_custkey + 1)] ELSE ['nothing'] END AS evidence_ids FROM orders),

@@ -67,6 +67,12 @@ def refusal(status: str, action: str, target: str | None, acceptable: bool | Non
     return None
 
 
+def next_status(current: str, action: str, target: str | None, acceptable: bool | None) -> tuple[bool, str]:
+    """Is the action accepted, and the status afterwards."""
+    accepted = refusal(current, action, target, acceptable) is None
+    return accepted, target if accepted and action in ("STATUS", "DECISION") else current
+
+
 class CaseMachine(StatefulProcessor):
     """State of one case: its status, the last released ``seq``, and the actions that wait."""
 
@@ -109,8 +115,7 @@ class CaseMachine(StatefulProcessor):
                 late, reason = late + 1, LATE
             else:
                 last_seq, reason = seq, refusal(status, action, target, acceptable)
-                if reason is None and action in ("STATUS", "DECISION"):
-                    status = target
+                _, status = next_status(status, action, target, acceptable)
             out.append((key[0], seq, action, target, before, reason is None, reason, status, late))
         if out:
             self._case.update((status, last_seq, late))

@@ -22,7 +22,7 @@ from ledgerlens.operators import review as R
 from ledgerlens.operators.spread import spread_join
 from ledgerlens.schemas import LINKS
 from ledgerlens.sources import tables as T
-from ledgerlens.streaming.case_status import next_status
+from ledgerlens.streaming.case_status import next_status, refusal
 
 
 def members(spark, links, seed, ts, **kw):
@@ -155,6 +155,31 @@ def test_entity_risk_boundary(spark):
     assert got[40 * 86_400][1] is None and got[50 * 86_400][1] == 1.0
 
 
+def test_replay_of_sparse_numbers_in_short_lists(spark, monkeypatch):
+    """Microseconds as numbers: lists hold at most BLOCK items, and the outcome is that of a plain loop."""
+    monkeypatch.setattr(K, "BLOCK", 7)
+    draw = random.Random(3)
+    targets = [*K.STATUSES, "BOGUS"]
+    rows, want = [], {}
+    for case, n in ((1, 400), (2, 1), (3, 49), (4, 50)):
+        status, seq = "NEW", 1_704_067_200_000_000
+        for _ in range(n):
+            seq += draw.randrange(1, 10**9)
+            row = (case, seq, draw.choice(["STATUS", "DECISION", "NOTE"]), draw.choice(targets), draw.random() < 0.9)
+            reason = refusal(status, *row[2:])
+            status = row[3] if reason is None and row[2] != "NOTE" else status
+            rows.append(row)
+            want[case, seq] = (reason, status)
+    draw.shuffle(rows)
+    df = spark.createDataFrame(rows, "case_id long, seq long, action string, target string, acceptable boolean")
+    got = {(r["case_id"], r["seq"]): (r["reason"], r["status_after"]) for r in K.replay_actions(df).collect()}
+    assert got == want
+    acts = K.action_ranks(df).withColumn("effect", F.array(*[F.lit(i) for i in range(len(K.STATUSES))]))
+    tree = K.fold_tree(acts, 400)
+    assert [t.agg(F.max(F.size("items"))).first()[0] for t in tree] == [7, 7, 7, 2]
+    assert tree[-1].count() == 4
+
+
 def test_replay_of_a_long_case(spark):
     """A case over several blocks equals a plain loop."""
     rnd = random.Random(2)
