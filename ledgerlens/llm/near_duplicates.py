@@ -441,7 +441,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         named.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"]).select("doc_id", "n_shingles", "head"),
         "members",
     )
-    others = sketches.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles")
+    others = scratch.keep(sketches.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles"), "others")
     heads = scratch.keep(
         named.join(classes.withColumnRenamed("head", "doc_id"), ["set_a", "set_b", "doc_id"], "left_semi").select(
             "doc_id", F.col("n_shingles").alias("n"), "signature", "bands"
@@ -449,6 +449,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         "heads",
     )
 
+    scratch.drop(sketches)
     banded = heads.select("doc_id", "n", F.posexplode("bands").alias("band", "bucket"), F.col("doc_id").alias("component"))
     first = _buckets(banded, F.xxhash64("doc_id", F.pmod("band", F.lit(DRAWS))))
     shared = scratch.keep(banded.drop("component").join(first, "bucket"), "shared")
@@ -459,7 +460,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     )
     def linked_by(pairs: DataFrame) -> DataFrame:
         survivors = scratch.keep(_prune(pairs.distinct(), heads), "survivors")
-        return scratch.keep(_confirm(survivors, documents), "links")
+        confirmed = scratch.keep(_confirm(survivors, documents), "links")
+        scratch.drop(survivors)
+        return confirmed
 
     links = links.union(linked_by(shared.filter("doc_id != centre").filter(_alike_size("n", "centre_n")).select("doc_id", "centre")))
     components = scratch.keep(connected_components(links, "doc_id", "centre"), "components")
@@ -474,13 +477,16 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     apart = scratch.keep(
         rows.join(_buckets(rows, F.lit(0)).select("bucket"), "bucket", "left_semi").drop("component"), "apart"
     )
+    scratch.drop(shared)
     own = _own_shingles(apart, documents, several)
+    split = apart
     apart = scratch.keep(
-        apart.join(own, "doc_id", "left")
+        split.join(own, "doc_id", "left")
         .withColumn("own", F.coalesce("own", F.lit(0)))
         .filter(LIMIT[1] * (F.col("n") - F.col("own")) >= LIMIT[0] * F.col("n")),
         "open",
     )
+    scratch.drop(split)
     # The member with the least of its own is the most typical one, such as a template.
     typical = F.struct(F.col("own") / F.col("n"), F.xxhash64("doc_id", "band"))
     rows = labelled(apart)
