@@ -33,13 +33,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     the other ids, so that a copy with an id is preferred.
     """
     key = _free_name(docs)
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
-    # Only rows whose key repeats, and few others, meet their copies in a shuffle.
-    repeats = may_hold(keyed.groupBy(key).count().filter("count > 1"), key)
-    rows = keyed.filter(~repeats(key)).unionByName(keyed.filter(repeats(key)).dropDuplicates([key])).drop(key)
     nameless = F.xxhash64("text").bitwiseOR(1 << 62).bitwiseAND((1 << 63) - 1)
-    rows = rows.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), nameless))
-    gone = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text")).filter("NOT kept")
+    numbered = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), nameless))
+    gone = near_duplicates(numbered.select(F.col(key).alias("doc_id"), "text")).filter("NOT kept")
+    # Only rows that repeat as a whole, and few others, meet their copies in a shuffle.
+    row = key + "_"
+    keyed = numbered.withColumn(row, F.xxhash64("doc_id", "text"))
+    repeats = may_hold(keyed.groupBy(row).count().filter("count > 1"), row)
+    rows = keyed.filter(~repeats(row)).unionByName(keyed.filter(repeats(row)).dropDuplicates([row]))
     return rows.join(gone.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(*docs.columns)
 
 
