@@ -61,8 +61,11 @@ def _entity() -> Column:
     return F.xxhash64("kind", "key", "partner")
 
 
-def observations(txn: DataFrame, cols: TxnColumns, kinds: Sequence[str]) -> DataFrame:
-    """One row per transaction and entity (or pair) it has; one row of kind NOTHING if it has none."""
+def observations(txn: DataFrame, cols: TxnColumns, kinds: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """One row per transaction and entity (or pair) it has; one row of kind NOTHING if it has none.
+
+    ``keep`` names further columns to carry.
+    """
     known = {*txn.columns}
     roles = {k: v for k, v in cols.roles().items() if k in kinds and {*v} - {None} <= known}
 
@@ -88,6 +91,7 @@ def observations(txn: DataFrame, cols: TxnColumns, kinds: Sequence[str]) -> Data
         time_slot(ts).alias("_slot"),
         F.floor(F.col(cols.row_id) / _BIN_ROWS).cast("long").alias("_bin"),
         amount.alias("amount"),
+        *keep,
         F.inline(F.array(*entries)),
     ).filter(F.col("key").isNotNull() & F.col("partner").isNotNull()).withColumn("entity", _entity())
 
@@ -334,8 +338,16 @@ def relational_features(
             .join(follow_up(own, order).select(*_match(order), "squares"), _match(order), "left")
             .join(_joint_rows_by_row(obs), _match(order), "left")
         )
+    return fold_relational(rows, ["row_id"], min_amount_history).withColumnRenamed("row_id", cols.row_id)
+
+
+def fold_relational(rows: DataFrame, by: Sequence[str | Column], min_amount_history: int = 2) -> DataFrame:
+    """The 16 features from one row per transaction and entity (or pair) with what was known before.
+
+    ``by`` makes one group per transaction; ``row_id`` and, of a stream, the window ``second``.
+    """
     partners = F.when(F.col("joint") > 0, F.col("active"))
-    wide = rows.groupBy("row_id").agg(
+    wide = rows.groupBy(*by).agg(
         _of(CARD, _amount_z(min_amount_history)).alias("amt_z_card"),
         _of(DEVICE, _amount_z(min_amount_history)).alias("amt_z_device"),
         _of(CARD, _hour()).alias("hour_dev_card"),
@@ -362,7 +374,7 @@ def relational_features(
         "addr_distinct_cards_7d": F.when(with_addr, F.col("_addr_cards")),
     }
     return wide.select(
-        F.col("row_id").alias(cols.row_id),
+        *[c for c in wide.columns if c in ("second", "row_id")],
         *[made.get(name, F.col(name)).cast("double").alias(name) for name in RELATIONAL_FEATURES],
     )
 

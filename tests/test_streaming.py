@@ -7,7 +7,7 @@ from ledgerlens.operators import cases, history
 from ledgerlens.plans.review import _actions
 from ledgerlens.plans.tables import transactions
 from ledgerlens.streaming.case_status import stream_case_status
-from ledgerlens.streaming.entity_features import stream_entity_features
+from ledgerlens.streaming.entity_features import stream_entity_features, stream_relational_features
 
 pytest.importorskip("google.protobuf")
 FOLDER = "/root/testdata/sf0.001"
@@ -93,3 +93,42 @@ def test_late_actions_change_nothing_and_are_counted(spark, tmp_path):
     assert out[6] == (True, None, "CLOSED", 0)
     assert out[3] == (False, "late", "CLOSED", 1) and out[4] == (False, "late", "CLOSED", 2)
     assert len(out) == 6
+
+
+def _feature_stream(spark, txn, source, days):
+    """Micro-batches cut at the given days, closed by a row far ahead that moves the watermark."""
+    timed = txn.withColumn("event_time", F.timestamp_seconds("ts"))
+    edges = [0, *days, 10**4]
+    for i, (a, b) in enumerate(zip(edges, edges[1:])):
+        timed.filter((F.col("ts") >= a * 86_400) & (F.col("ts") < b * 86_400)).coalesce(1).write.parquet(str(source / f"{i}"))
+    for i, last in enumerate(("last", "after")):
+        ahead = timed.limit(1).withColumns({"event_time": F.timestamp_seconds(F.lit(10**9 + i)), "ts": F.lit(10**9 + i).cast("long")})
+        ahead.coalesce(1).write.parquet(str(source / last))
+    return (
+        spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1)
+        .option("recursiveFileLookup", "true").parquet(str(source))
+    )
+
+
+def test_relational_features_match_batch(spark, tmp_path):
+    txn = transactions(spark, FOLDER).filter("ts < 30 * 86400").withColumn("ts", F.floor(F.col("ts") / 3).cast("long"))
+    # Gaps longer than every window, rows without amount or keys, and rows of one second.
+    txn = txn.withColumn("ts", F.col("ts") + F.when(F.col("ts") > 5 * 86_400, F.lit(9 * 86_400)).otherwise(0))
+    odd = txn.limit(3).withColumns(
+        {"transaction_id": F.col("transaction_id") + 10**6, "amount": F.lit(None).cast("double"),
+         "card_key": F.lit(None).cast("string"), "device_key": F.lit(None).cast("string"), "addr_key": F.lit(None).cast("string")}
+    )
+    txn = txn.unionByName(odd).unionByName(txn.filter("transaction_id % 7 = 0").withColumn("transaction_id", F.col("transaction_id") + 10**7))
+    txn = txn.persist()
+    got = _run(stream_relational_features(_feature_stream(spark, txn, tmp_path / "in", (2, 4, 15))), "relational_stream", tmp_path / "cp")
+    want = history.relational_features(txn)
+
+    def shown(df):
+        names = ("transaction_id", *history.RELATIONAL_FEATURES)
+        return {r[0]: [None if v is None else round(v + 1e-8, 5) for v in r[1:]] for r in df.select(*names).collect()}
+
+    expected, found = shown(want), shown(got)
+    assert all(found.get(k) == v for k, v in expected.items())
+    assert len(found) - len(expected) <= 2
+    for i in range(len(history.RELATIONAL_FEATURES)):
+        assert len({v[i] for v in expected.values()}) > 1
