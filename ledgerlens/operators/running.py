@@ -30,6 +30,17 @@ def id_levels(number: Column) -> list[Column]:
     return [F.shiftright(number.cast("long"), bits) for bits in (42, 21)]
 
 
+def double_levels(number: Column) -> list[Column]:
+    """Coarse to fine ranges of a double by its logarithm, whatever its scale.
+
+    Below each other they hold at most about 2^22 steps: a coarse range spans a factor of 2^(1/1024),
+    a fine one of 2^(1/2^31). The logarithm never falls where the number rises, so the order is kept.
+    """
+    # Above zero for every double; there is no logarithm of zero, which lies between both signs.
+    size = F.log2(F.abs(number)) + F.lit(1100.0)
+    return [F.coalesce(F.signum(number) * F.floor(size * F.lit(2.0**k)), F.lit(0.0)).cast("bigint") for k in (10, 31)]
+
+
 def steps_of(
     df: DataFrame, keys: Sequence[str], levels: Sequence[str], measures: Mapping[str, Column]
 ) -> DataFrame:

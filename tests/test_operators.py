@@ -19,6 +19,7 @@ from ledgerlens.operators import metrics as X
 from ledgerlens.operators import modeling as M
 from ledgerlens.operators import profile as P
 from ledgerlens.operators import review as R
+from ledgerlens.operators import running as N
 from ledgerlens.operators.spread import spread_join
 from ledgerlens.schemas import LINKS
 from ledgerlens.sources import tables as T
@@ -283,3 +284,31 @@ def test_scores_of_several_versions_need_their_time(spark):
     scores = spark.createDataFrame([(1, 0.9, "v1")], "transaction_id long, risk_score double, model_version string")
     with pytest.raises(ValueError):
         E.generate_evidence(None, None, scores)
+
+
+def test_levels_of_doubles_keep_their_order(spark):
+    rng = random.Random(5)
+    values = [0.0, 1.0, 0.5, 2.0**-1022, 5e-324, 2.0**-1060, 0.1, 1e-4, 1 - 2.0**-53, 8.0, 2.0**1000, 1.7e308]
+    values += [rng.random() * 10.0 ** -rng.randrange(12) for _ in range(500)]
+    values += [2.0**-k for k in range(60)] + [2.0**-k * (1 - 2.0**-53) for k in range(60)]
+    values += [-v for v in values]
+    coarse, fine = N.double_levels(F.col("v"))
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", coarse.alias("c"), fine.alias("f")).collect()
+    ordered = [(r["c"], r["f"]) for r in sorted(got, key=lambda r: r["v"])]
+    assert ordered == sorted(ordered) and len({*ordered}) > 1000
+    assert all(r["c"] == r["f"] >> 21 or r["v"] < 0 for r in got)
+
+
+def test_metrics_do_not_depend_on_the_scale_of_scores(spark):
+    rows = spark.range(3000).select(
+        F.col("id"), F.lit("a").alias("grp"), (F.pmod(F.xxhash64("id"), F.lit(500)) / 500.0).alias("s"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(9)) == 0).cast("int").alias("y")
+    )
+    tiny = rows.withColumn("s", F.col("s") / 1e7)
+    assert X.ranking_metrics(rows, "y", "s", ["grp"]).collect() == X.ranking_metrics(tiny, "y", "s", ["grp"]).collect()
+    tops = [sorted(map(tuple, X.top_fraction_metrics(d, "y", "s", "id", ["grp"]).collect())) for d in (rows, tiny)]
+    assert tops[0] == tops[1]
+    best = [X.best_f1_threshold(d, "y", "s", ["grp"]).first() for d in (rows, tiny)]
+    assert abs(best[0]["threshold"] / 1e7 - best[1]["threshold"]) < 1e-15 and abs(best[0]["f1"] - best[1]["f1"]) < 1e-12
+    # Scores below 1e-7 still spread over many windows.
+    level = N.double_levels(F.col("s"))[0]
+    assert tiny.filter("s > 0").groupBy(level.alias("l")).agg(F.count_distinct("s").alias("n")).agg(F.max("n")).first()[0] <= 4
