@@ -19,7 +19,7 @@ def _bucket(keys: Sequence[str], buckets: int) -> Column:
 
 
 def write_store(df: DataFrame, path: str, keys: Sequence[str], buckets: int) -> None:
-    """Store ``df`` in one folder per hash bucket of its keys; the number of buckets stays with the store."""
+    """Store ``df`` in one folder per hash bucket of its keys; later calls must pass the same number of buckets."""
     df.withColumn(BUCKET, _bucket(keys, buckets)).repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
 
 
