@@ -168,20 +168,24 @@ def train_classifier(
     step_size: float = 0.05,
     subsampling_rate: float = 0.8,
     seed: int = SEED,
+    stop_on_loss: bool = True,
 ) -> PipelineModel:
-    """Boosted trees on the train rows; the valid rows stop the training early."""
+    """Boosted trees on the train rows; the valid rows stop the training early, unless told not to."""
     used = matrix.filter(F.col(split).isin("train", "valid")).withColumn("_valid", F.col(split) == "valid")
     assembler = VectorAssembler(inputCols=list(inputs), outputCol="_features")
     trees = GBTClassifier(
         featuresCol="_features",
         labelCol=label,
-        validationIndicatorCol="_valid",
         maxIter=max_iter,
         maxDepth=max_depth,
         stepSize=step_size,
         subsamplingRate=subsampling_rate,
         seed=seed,
     )
+    if stop_on_loss:
+        trees.setValidationIndicatorCol("_valid")
+    else:
+        used = used.filter("NOT _valid")
     return Pipeline(stages=[assembler, trees]).fit(used)
 
 
