@@ -560,3 +560,47 @@ def test_pipeline_writes_each_stage(spark, tmp_path, monkeypatch):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert [r["text"] for r in out.collect()] == ["abb"]
     assert "/pipeline-" in seen[1][0] and "/pipeline-" in out.inputFiles()[0]
+
+
+def test_private_data_candidates():
+    def found(text):
+        return [(k, text[a:b]) for k, a, b in private_data.candidates(text, private_data.base_spans(text))]
+
+    assert found("reach me at 0171 123 4567") == [(-1, "0171 123 4567")]
+    assert found("dial (212) 555-0100, or 1234567.") == [(-1, "(212) 555-0100"), (-1, "1234567")]
+    assert found("pay 4111 1111 1111 1112 now") == [(-1, "4111 1111 1111 1112")]  # fails the check sum
+    for address in ("anna(at)firma.de", "anna [at] firma [dot] de", "anna at firma dot de", "a.b {AT} c-d.org"):
+        assert found(f"please mail {address} today") == [(-2, address)]
+    assert found("we met at noon. Then (at) x at") == found("") == found("12 34") == []
+    assert private_data._context("me at 212", 6) == "me at" and private_data._context("at 212", 3) == ""
+    assert private_data._context("Me" + " " * 300 + "AT" + "-" * 300 + "1", 604) == "me at"
+    assert private_data._context("x" * 300 + " at 1", 304) == "x" * 300 + " at"
+    long = "1234567 a(at)b.c " * 20_000
+    assert len(found(long)) == 40_000
+
+
+def test_private_data_finds_numbers_with_spaces_and_written_out_addresses(spark):
+    rows = [(i, f"some words reach me at +1 (212) 555-01{i:02d} now") for i in range(30)]
+    rows += [(i, f"or send mail to user{i}@host{i}.org please") for i in range(30, 60)]
+    probes = {
+        100: ("me at 212/555/0199 is fine", (3, 6, 18), "me at [PHONE] is fine"),
+        101: ("reach me at 0171 123 4567", (3, 12, 25), "reach me at [PHONE]"),
+        102: ("and mail to anna(at)firma.de", (0, 12, 28), "and mail to [EMAIL]"),
+    }
+    rows += [(i, t) for i, (t, _, _) in probes.items()] * 2  # repeated rows
+    rows += [(103, "meet me at anna(at)firma.de"), (104, None), (None, "me at 0171 123 4567"), (105, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit("k"), "added": F.lit(1), "kind": F.lit(2)})
+    found, patterns = private_data.private_data(docs)
+    assert found.count() == len(rows)
+    spans = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in found.collect()}
+    clean = private_data.redact(docs)
+    assert clean.columns == docs.columns and clean.count() == len(rows)
+    text = {r["doc_id"]: r["text"] for r in clean.collect()}
+    for i, (_, span, wanted) in probes.items():
+        assert spans[i] == [span] and text[i] == wanted
+    # An address-like stretch behind a phone pattern is none.
+    assert spans[103] == spans[104] == spans[105] == [] and spans[None] == [(3, 6, 19)]
+    assert text[104] is None and text[105] == "" and text[None] == "me at [PHONE]"
+    assert patterns["mail to"][0] == 0
+    with pytest.raises(KeyError):
+        patterns["no such"]
